@@ -64,14 +64,15 @@ def dedupe_lines(docs: DataFrame, mean: int = MEAN, least: int = LEAST) -> DataF
     small = cut.select("d", "_row", F.col("c.no").alias("no"), F.md5(F.col("c.body").cast("binary")).alias("h"))
     again = small.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     candidates = written(small.join(again, "h", "left_semi").groupBy("_row").agg(F.collect_set("no").alias("nos")))
+    # Texts are dealt by row once: candidates' bytes and the final texts read the same exchange.
+    dealt = rows.join(candidates, "_row", "left").withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)))
     # only candidate chunks carry their bytes
     bodies = (
-        rows.join(candidates, "_row")
-        .select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"), "_row", "nos", F.explode(chunks(F.col("_text"), mean)).alias("c"))
+        dealt.where(F.col("nos").isNotNull())
+        .select(F.col("_d").alias("d"), "_row", "nos", F.explode(chunks(F.col("_text"), mean)).alias("c"))
         .where(F.expr("array_contains(nos, c.no)"))
         .select("d", "_row", F.col("c.no").alias("no"), F.col("c.body").alias("body"))
     )
-    bodies = written(bodies)
     first = bodies.groupBy("body").agg(F.min(F.struct("d", "no", "_row")).alias("f"))
     gone = (
         bodies.join(first, "body")
@@ -79,7 +80,7 @@ def dedupe_lines(docs: DataFrame, mean: int = MEAN, least: int = LEAST) -> DataF
         .groupBy("_row")
         .agg(F.collect_set("no").alias("_gone"))
     )
-    parts = rows.join(gone, "_row", "left").withColumn("_c", chunks(F.col("_text"), mean))
+    parts = dealt.join(gone, "_row", "left").withColumn("_c", chunks(F.col("_text"), mean))
     removed = F.filter("_c", lambda c: F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), c["no"]))
     kept = F.filter("_c", lambda c: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), c["no"]))
     add = lambda a, c: a + c["lines"]
