@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from factloom.llm import decontam, language, linechunks, packing, simhash, topk, toxicity
+from factloom.llm import decontam, language, linechunks, packing, secrets, simhash, topk, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
+        secrets.op1_crf_secrets,
         topk.op2_norm_bucket_topk,
         simhash.op3_simhash_bktree,
         language.op4_segmentation_langid,
