@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from factloom.llm import decontam, language, linechunks, packing, secrets, simhash, topk, toxicity
+from factloom.llm import decontam, language, linechunks, packing, secrets, simhash, substrings, topk, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -9,6 +9,7 @@ QUERIES = {
         topk.op2_norm_bucket_topk,
         simhash.op3_simhash_bktree,
         language.op4_segmentation_langid,
+        substrings.op5_lpf_dedup,
         linechunks.op6_line_chunk_dedup,
         packing.op7_best_fit_packing,
         toxicity.op8_cnn_toxicity,
