@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from factloom.llm import decontam, language, linechunks, packing, secrets, simhash, substrings, topk, toxicity
+from factloom.llm import decontam, katz, language, linechunks, packing, secrets, simhash, substrings, topk, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -13,6 +13,7 @@ QUERIES = {
         linechunks.op6_line_chunk_dedup,
         packing.op7_best_fit_packing,
         toxicity.op8_cnn_toxicity,
+        katz.op9_katz_scoring,
         decontam.op10_lsa_decontamination,
     )
 }
