@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -48,31 +50,48 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now; it does so when the driver collects its garbage."""
+    for _ in range(2):  # Python gives its references up in a thread of its own
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def words(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) words between the white space of ASCII."""
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
+def zstd():
+    """This process's compressor and decompressor."""
+    global _zstd
+    if _zstd is None:
+        import zstandard
+
+        _zstd = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    return _zstd
+
+
+_zstd = None
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Integer arrays as compressed byte planes (small values leave planes of zeros)."""
-    import zstandard
-
-    parts = []
+    squeeze, parts = zstd()[0], []
     for a in arrays:
         raw = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1) if len(a) else np.zeros((0, a.dtype.itemsize), np.uint8)
-        body = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.T).tobytes())
+        body = squeeze.compress(np.ascontiguousarray(raw.T).tobytes())
         parts.append(len(a).to_bytes(8, "little") + len(body).to_bytes(8, "little") + a.dtype.str.encode().ljust(8) + body)
     return b"".join(parts)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    import zstandard
-
-    out, at = [], 0
+    expand, out, at = zstd()[1], [], 0
     while at < len(data):
         n, size = int.from_bytes(data[at : at + 8], "little"), int.from_bytes(data[at + 8 : at + 16], "little")
         kind = np.dtype(data[at + 16 : at + 24].strip().decode())
-        raw = zstandard.ZstdDecompressor().decompress(data[at + 24 : at + 24 + size], max_output_size=max(1, n * kind.itemsize))
+        raw = expand.decompress(data[at + 24 : at + 24 + size], max_output_size=max(1, n * kind.itemsize))
         planes = np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n)
         out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind) if n else np.zeros(0, kind))
         at += 24 + size

@@ -32,10 +32,10 @@ def rows(items: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], ["to", "kind", "data"])
 
 
-def counts(docs: DataFrame) -> tuple[int, int]:
+def counts(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> tuple[int, int]:
     """Groups for the texts, and buckets for their keys."""
     size = docs.agg(F.sum(F.octet_length(text_of()))).first()[0] or 0
-    return max(1, -(-size // GROUP_BYTES)), max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    return max(1, -(-size // group_bytes)), max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def dealt(docs: DataFrame, groups: int, held: F.Column | None = None) -> DataFrame:

@@ -17,30 +17,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import LOWER, documents, pack, remainder_is, unpack, written
+from factloom.llm.common import LOWER, documents, pack, release, remainder_is, unpack, written
 from factloom.llm.groups import MESSAGE, NEWS, TEXT, counts, dealt, deliver, delta, group_documents, rows, text_messages, undelta
 
 K = 5
 #: Parts that the words after a history are dealt to, so that no task holds all of a frequent history.
-SPLIT = 16
+SPLIT = 8
 #: Tokens with spaces in them are no words of a text.
 START, END = b" start", b" end"
 STATS, HISTORY, EVENT, SUMS, BASE = 2, 3, 4, 5, 6
-LOW48 = np.uint64(2**48 - 1)
-REMEMBER = 400_000
+#: Tokens whose words are counted before they are sent.
+FLUSH = 6_000_000
+#: Bytes of text in a group.
+GROUP_BYTES = 12_000_000
 
 
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
+class Numbers(dict):
+    """word -> number, from 0 as they come."""
 
-        if len(self) > REMEMBER:
-            self.clear()
-        self[word] = h = xxh64_intdigest(word, 0)
-        return h
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+    def hashes(self) -> np.ndarray:
+        from xxhash import xxh64_intdigest
+
+        return np.fromiter(map(xxh64_intdigest, self), np.uint64, len(self))
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -80,39 +85,42 @@ def score(docs: DataFrame, held: F.Column) -> DataFrame:
 
     docs: doc_id, text; other columns are ignored; ``held`` says which rows the model does not learn from. Null
     text is empty: its one token is the end. Repeated rows count and are scored each. Without any training row
-    all words are unseen ones. Words are told apart by 64 bits of hash, the words after a history by 48.
+    all words are unseen ones. Words are told apart by 64 bits of hash.
     """
-    groups, buckets = counts(docs)
+    groups, buckets = counts(docs, GROUP_BYTES)
     there = dealt(docs, groups, held)
 
     def ask(batches):
         """The words of my documents and how often they train."""
-        hashes, wait, size = Hashes(), {}, 0
+        vocabulary, wait, size = Numbers(), {}, 0
 
         def send():
-            out = []
-            for g, (h, n) in wait.items():
-                h, n = np.concatenate(h), np.concatenate(n)
-                key, inverse = np.unique(h, return_inverse=True)
-                n = np.bincount(inverse, weights=n, minlength=len(key)).astype(np.uint32)
-                to = buckets_of(key, buckets)
-                order = np.argsort(to, kind="stable")
-                key, n, to = key[order], n[order], to[order]
-                cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-                out += [(int(to[s]), g, pack(delta(key[s:e]), n[s:e])) for s, e in zip(cuts, np.r_[cuts[1:], len(key)])]
+            key = vocabulary.hashes()
+            to, out = buckets_of(key, buckets), []
+            order = np.lexsort((key, to))
+            place = np.empty(len(key), np.int32)
+            place[order] = np.arange(len(key), dtype=np.int32)
+            key, to = key[order], to[order]
+            for g, parts in wait.items():
+                x = np.concatenate(parts)
+                x = np.sort(2 * place[x >> 1] + (x & 1))
+                k = x >> 1
+                first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+                n, k = np.add.reduceat(x & 1, first, dtype=np.uint32), k[first]
+                cuts = np.flatnonzero(np.r_[True, to[k][1:] != to[k][:-1]])
+                out += [(int(to[k[s]]), g, pack(delta(key[k[s:e]]), n[s:e])) for s, e in zip(cuts, np.r_[cuts[1:], len(k)])]
             yield from rows(out)
 
         for batch in batches:
             for g, held, text in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3))):
-                h = hashes.of([START, *text.encode("utf-8", "surrogatepass").translate(LOWER).split(), END])
-                n = np.full(len(h), not held, np.uint32)
-                n[0] = 0
-                box = wait.setdefault(g, ([], []))
-                box[0].append(h), box[1].append(n)
-                size += len(h)
-                if size > 3_000_000:
+                w = vocabulary.of([START, *text.encode("utf-8", "surrogatepass").translate(LOWER).split(), END])
+                w *= 2
+                w[1:] += not held
+                wait.setdefault(g, []).append(w)
+                size += len(w)
+                if size > FLUSH:
                     yield from send()
-                    wait, size = {}, 0
+                    vocabulary, wait, size = Numbers(), {}, 0
         if wait:
             yield from send()
 
@@ -125,14 +133,21 @@ def score(docs: DataFrame, held: F.Column) -> DataFrame:
         for (g, _, _), k in zip(found, keys):
             by.setdefault(g, []).append(inverse[at : at + len(k)])
             at += len(k)
-        yield from rows([(-1, STATS, pack(tally(total)))])
+        yield from rows([(-1, STATS, pack(tally(total), np.array([bucket, len(unique)], np.int64)))])
         for g, parts in by.items():
             i = np.unique(np.concatenate(parts))
-            yield from rows([(g, NEWS, pack(delta(unique[i]), total[i].astype(np.uint64)))])
+            yield from rows([(g, NEWS, pack(delta(unique[i]), total[i].astype(np.uint64), delta(i), np.array([bucket], np.int64)))])
 
     asked = there.mapInArrow(ask, MESSAGE)
     told = written(deliver(asked, buckets, answer))
-    one = sum((unpack(r[0])[0] for r in told.where(F.col("to") == -1).select("data").collect()), np.zeros(K + 3, np.int64))  # a row per bucket
+    del asked
+    release(docs.sparkSession)
+    stats = [unpack(r[0]) for r in told.where(F.col("to") == -1).select("data").collect()]  # a row per bucket
+    one = sum((x[0] for x in stats), np.zeros(K + 3, np.int64))
+    sizes = np.zeros(buckets, np.int64)
+    for _, x in stats:
+        sizes[x[0]] = x[1]
+    before = np.cumsum(sizes) - sizes  # words are numbered bucket by bucket
     unigrams = Unigrams(int(one[0]), int(one[1]), one[2:].tolist())
     tokens, types = unigrams.tokens, unigrams.types
 
@@ -142,15 +157,19 @@ def score(docs: DataFrame, held: F.Column) -> DataFrame:
         if not found:
             return
         news = [unpack(d) for d in got[NEWS]]
-        key = np.concatenate([undelta(k) for k, _ in news])
+        key, c, number = (np.concatenate(x) for x in zip(*((undelta(k), c, before[b[0]] + undelta(i)) for k, c, i, b in news)))
         order = np.argsort(key)
-        key, c = key[order], np.concatenate([n for _, n in news])[order]
-        hashes, index, sizes = Hashes(), [], []
+        vocabulary, index, sizes = Numbers(), [], []
         for _, _, text in found:
-            w = [START, *text.translate(LOWER).split(), END]
-            index.append(np.searchsorted(key, hashes.of(w)).astype(np.int32))
-            sizes.append(len(w) - 1)
-        history, word = np.concatenate([x[:-1] for x in index]), np.concatenate([x[1:] for x in index])
+            index.append(vocabulary.of([START, *text.translate(LOWER).split(), END]))
+            sizes.append(len(index[-1]) - 1)
+        mine = order[np.searchsorted(key, vocabulary.hashes(), sorter=order)]
+        by = np.argsort(number[mine])
+        place = np.empty(len(mine), np.int32)
+        place[by] = np.arange(len(mine), dtype=np.int32)
+        number, c = number[mine][by], c[mine][by]
+        history, word = place[np.concatenate([x[:-1] for x in index])], place[np.concatenate([x[1:] for x in index])]
+        start, end = place[vocabulary[START]], place[vocabulary[END]]
         sizes = np.array(sizes)
         doc = np.repeat(np.arange(len(found), dtype=np.int32), sizes)
         del index
@@ -160,15 +179,15 @@ def score(docs: DataFrame, held: F.Column) -> DataFrame:
         ids = np.array([0 if i is None else i for i, _, _ in found], np.int64)
         none = np.array([i is None for i, _, _ in found], np.uint8)
         out = [(group % buckets, (group << 3) | BASE, pack(ids, none, held.astype(np.uint8), sizes.astype(np.int64), known, base))]
-        code = history.astype(np.int64) * len(key) + word
+        code = history.astype(np.int64) * len(number) + word
         order = np.argsort(code, kind="stable")
         code, doc = code[order], doc[order]
         first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
         n = np.diff(np.r_[first, len(code)])
         train = np.add.reduceat((~held[doc]).astype(np.int64), first)
-        h, w = code[first] // len(key), code[first] % len(key)
-        to = buckets_of(key[h] + (key[w] >> np.uint64(50)) % np.uint64(SPLIT) * np.uint64(0x9E3779B97F4A7C15), buckets)
-        by = np.lexsort((key[w] & LOW48, h, to))  # keys are sorted, so h orders as its hash does
+        h, w = code[first] // len(number), code[first] % len(number)
+        to = (number[h] + number[w] % SPLIT * 7919) % buckets
+        by = np.argsort(to.astype(np.uint16 if buckets < 65536 else np.int64), kind="stable")  # h stays in order
         cuts = np.flatnonzero(np.r_[True, to[by][1:] != to[by][:-1]])
         starts = first
         for s, e in zip(cuts, np.r_[cuts[1:], len(by)]):
@@ -176,10 +195,10 @@ def score(docs: DataFrame, held: F.Column) -> DataFrame:
             new = np.flatnonzero(np.r_[True, h[k][1:] != h[k][:-1]])
             spots = np.repeat(starts[k] - np.r_[0, np.cumsum(n[k])[:-1]], n[k]) + np.arange(n[k].sum())
             # the start of a text is as frequent as its end
-            seen = np.where(key[h[k][new]] == np.uint64(hashes[START]), c[np.searchsorted(key, np.uint64(hashes[END]))], c[h[k][new]])
+            seen = np.where(h[k][new] == start, c[end], c[h[k][new]])
             out.append((int(to[k[0]]), (group << 3) | NEWS, pack(
-                delta(key[h[k][new]]), np.diff(np.r_[new, len(k)]).astype(np.int32), seen.astype(np.uint64),
-                key[w[k]] & LOW48, c[w[k]].astype(np.uint64), train[k].astype(np.uint32), n[k].astype(np.uint32), doc[spots].astype(np.int32))))
+                delta(number[h[k][new]]), np.diff(np.r_[new, len(k)]).astype(np.int32), seen.astype(np.uint64),
+                number[w[k]], c[w[k]].astype(np.uint64), train[k].astype(np.uint32), n[k].astype(np.uint32), doc[spots].astype(np.int32))))
             if len(out) >= 16:
                 yield from rows(out)
                 out = []
@@ -216,7 +235,7 @@ def score(docs: DataFrame, held: F.Column) -> DataFrame:
         keys, total = hs[start], seen[head][start]
         live = total > 0
         out = {}
-        part = buckets_of(keys, buckets)
+        part = keys % buckets
         for b in np.unique(part[live]):
             k = np.flatnonzero(live & (part == b))
             out.setdefault(int(b), []).append((int(b), HISTORY, pack(delta(keys[k]), total[k], large[k], taken[k], *(x[k] for x in by_r))))
