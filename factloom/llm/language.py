@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from factloom.llm.common import LOWER, documents, remainder_is, text_of
 
 #: Labelled rows per language that the model is fitted on, longest piece in bytes, rounds of fitting.
-SAMPLE, PIECE, ROUNDS = 400, 12, 3
+SAMPLE, PIECE, ROUNDS = 400, 8, 3
 #: Words whose scores a task remembers at once (memory only; others are computed again).
-REMEMBER = 200_000
+REMEMBER = 500_000
+#: Marks and digits of ASCII to spaces.
+LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 
 
 def vocabulary(path: str | None = None, longest: int = PIECE) -> list[bytes]:
@@ -31,8 +33,8 @@ def vocabulary(path: str | None = None, longest: int = PIECE) -> list[bytes]:
 
 
 def split(text: str | None) -> list[bytes]:
-    """Lower-cased words with a space before each; marks and digits stay in them."""
-    return [b" " + w for w in (text or "").lower().encode("utf-8", "surrogatepass").split()]
+    """Lower-cased words; marks and digits of ASCII part them."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(LETTERS).split()
 
 
 class Lattice:
@@ -149,7 +151,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, path: str | None = None, ro
     counted = rows.where(draw < F.element_at(share, F.col("lang"))).mapInArrow(count, "lang string, w binary, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[bytes, int]] = {g: {} for g in sizes}
     for r in counted.collect():  # the words of the bounded sample
-        counts[r[0]][bytes(r[1])] = r[2]
+        counts[r[0]][b" " + bytes(r[1])] = r[2]
     return fit(counts, path, rounds=rounds)
 
 
@@ -178,7 +180,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                         index, table = {}, []
                         new = list(dict.fromkeys(w))
                     index.update(zip(new, range(len(index), len(index) + len(new))))
-                    table.append(model.many(new))
+                    table.append(model.many([b" " + x for x in new]))
                     if len(table) > 64:
                         table = [np.concatenate(table)]
                 rows = np.fromiter(map(index.__getitem__, w), np.int64, len(w))
