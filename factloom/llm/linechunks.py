@@ -56,20 +56,21 @@ def dedupe_lines(docs: DataFrame, mean: int = MEAN, least: int = LEAST) -> DataF
     Rows that are the same in doc_id and text are one document, and each keeps what that keeps. An empty table gives
     no rows.
     """
-    spark = docs.sparkSession
+    added = ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", "kept_text")
     key = F.xxhash64(F.col("doc_id").cast("string"), text_of())
     rows = docs.withColumn("_text", text_of()).withColumn("_row", key)
     cut = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"), "_row", F.explode(chunks(F.col("_text"), mean)).alias("c"))
     cut = cut.where(F.col("c.lines") >= least)
     small = cut.select("d", "_row", F.col("c.no").alias("no"), F.md5(F.col("c.body").cast("binary")).alias("h"))
     again = small.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    candidates = written(small.join(again, "h", "left_semi").groupBy("_row").agg(F.collect_set("no").alias("nos")))
-    # Texts are dealt by row once: candidates' bytes and the final texts read the same exchange.
-    dealt = rows.join(candidates, "_row", "left").withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)))
+    candidates = written(small.join(again, "h", "left_semi").groupBy("_row").agg(F.collect_set("no").alias("nos"), F.min("d").alias("d")))
+    # Texts are dealt by row once, without other columns: candidates' bytes and the final texts read the same exchange.
+    texts = rows.select("_row", "_text").dropDuplicates(["_row"])
+    dealt = texts.join(candidates, "_row", "left")
     # only candidate chunks carry their bytes
     bodies = (
         dealt.where(F.col("nos").isNotNull())
-        .select(F.col("_d").alias("d"), "_row", "nos", F.explode(chunks(F.col("_text"), mean)).alias("c"))
+        .select("d", "_row", "nos", F.explode(chunks(F.col("_text"), mean)).alias("c"))
         .where(F.expr("array_contains(nos, c.no)"))
         .select("d", "_row", F.col("c.no").alias("no"), F.col("c.body").alias("body"))
     )
@@ -85,15 +86,18 @@ def dedupe_lines(docs: DataFrame, mean: int = MEAN, least: int = LEAST) -> DataF
     kept = F.filter("_c", lambda c: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), c["no"]))
     add = lambda a, c: a + c["lines"]
     zero = F.lit(0).cast("int")
-    out = parts.select(
-        *[F.col(c) for c in docs.columns if c not in ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", "kept_text")],
+    done = parts.select(
+        "_row",
+        "_text",
         F.aggregate("_c", zero, add).cast("long").alias("n_lines"),
         F.size("_c").cast("long").alias("n_chunks"),
         F.size(removed).cast("long").alias("n_removed_chunks"),
         F.aggregate(removed, zero, add).cast("long").alias("n_removed_lines"),
         F.array_join(F.transform(kept, lambda c: c["body"]), "\n").alias("kept_text"),
     )
-    return out
+    names = [c for c in docs.columns if c not in added]
+    others = rows.select(*[c for c in names if c != "text"], "_row", F.col("text").isNotNull().alias("_has"))
+    return others.join(done, "_row").select(*[F.when(F.col("_has"), F.col("_text")).alias("text") if c == "text" else F.col(c) for c in names], *added)
 
 
 def op6_line_chunk_dedup(spark, sf_dir: str) -> DataFrame:
