@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed patterns of wiki markup, in the order they apply.
@@ -88,3 +88,83 @@ def detect_intent(question: Column) -> Column:
         hit = question.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
         out = F.when(hit, intent) if out is None else out.when(hit, intent)
     return out.otherwise("how-to")
+
+
+# Fixed topics of a question and the words that tell them.
+TOPICS = {
+    "commit": ["commit", "committed", "committing"],
+    "branch": ["branch", "branches", "branching"],
+    "merge": ["merge", "merging", "merged"],
+    "rebase": ["rebase", "rebasing", "rebased"],
+    "stash": ["stash", "stashes", "stashing"],
+    "remote": ["remote", "push", "pull", "fetch", "origin", "upstream"],
+    "log": ["log", "history", "commits"],
+    "status": ["status", "changed", "modified", "what's changed"],
+    "diff": ["diff", "difference"],
+    "cherry-pick": ["cherry-pick", "cherry pick", "cherrypick"],
+    "head": ["head", "detached"],
+    "recovery": ["lost", "recover", "missing", "deleted"],
+    "tag": ["tag", "release"],
+    "file": ["file", "files", "ignore", "gitignore", "untrack"],
+    "setup": ["init", "initialise", "clone", "config", "setup", "configure"],
+    "undo": ["undo", "revert", "rollback", "back out"],
+    "conflict": ["conflict", "conflicts", "merge conflict"],
+    "submodule": ["submodule"],
+    "bisect": ["bisect", "find bug", "find broken"],
+    "blame": ["blame", "who changed", "who wrote"],
+    "worktree": ["worktree", "parallel"],
+}
+# Fixed moods that a question's words ask for.
+MOODS = {
+    "why": ["philosophical", "reflective", "anguished"],
+    "what": ["philosophical", "reflective", "declaration"],
+    "do you regret": ["melancholy", "reflective", "anguished"],
+    "tired": ["melancholy", "weary"],
+    "afraid": ["defiant", "anguished"],
+    "stop": ["defiant", "oratorical", "commanding"],
+    "give up": ["defiant", "oratorical"],
+    "die": ["exalted", "defiant", "melancholy"],
+}
+
+
+def told(question: Column, table: dict[str, list[str]] = TOPICS) -> Column:
+    """The table's keys, in its order, of which the question holds a word; none for null."""
+    low = F.lower(question)
+    hits = [F.when(F.greatest(*[low.contains(w) for w in words], F.lit(False)), F.lit(key)) for key, words in table.items()]
+    return F.array_compact(F.array(*hits))
+
+
+def moods(question: Column, table: dict[str, list[str]] = MOODS) -> Column:
+    """All moods of all words that the question holds, repeats included."""
+    low, none = F.lower(question), F.array().cast("array<string>")
+    return F.concat(*(F.when(low.contains(w), F.array(*map(F.lit, m))).otherwise(none) for w, m in table.items()))
+
+
+def score_item(question: Column, tokens: Column, intent: Column, topics: Column, item: dict) -> Column:
+    """How well an item (topic, intent, question_patterns) answers; its best pattern counts."""
+    low, best = F.lower(question), [F.lit(0.0)]
+    for pattern in map(str.lower, item["question_patterns"]):
+        words = pattern.split()
+        threes = [low.contains(" ".join(words[i : i + 3])) for i in range(len(words) - 2)]
+        near = F.when(low.contains(pattern), 15.0)
+        for t in threes:
+            near = near.when(t, 5.0)
+        best.append(3.0 * F.size(F.array_intersect(content_tokens(F.lit(pattern)), tokens)) + near.otherwise(0.0))
+    best_pattern = F.greatest(*best) if len(best) > 1 else best[0]
+    return F.when(F.array_contains(topics, item["topic"]), 3.0).otherwise(0.0) + F.when(intent == item["intent"], 1.0).otherwise(0.0) + best_pattern
+
+
+def best_items(questions: DataFrame, items: list[dict], k: int = 1, column: str = "question") -> DataFrame:
+    """questions with items: the k best of a small catalogue, array<struct<score, item_id>>; ties as catalogued, none at 0."""
+    q = F.col(column)
+    ready = questions.withColumns({"_tokens": content_tokens(q), "_intent": detect_intent(q), "_topics": told(q)})
+    score = lambda item: score_item(q, F.col("_tokens"), F.col("_intent"), F.col("_topics"), item)
+    scored = F.array(*(F.struct(score(x).alias("score"), F.lit(-n).alias("place"), F.lit(x["item_id"]).alias("item_id")) for n, x in enumerate(items)))
+    top = F.filter(F.slice(F.sort_array(scored, asc=False), 1, k), lambda x: x["score"] > 0)
+    return ready.withColumn("items", F.transform(top, lambda x: F.struct(x["score"], x["item_id"]))).drop("_tokens", "_intent", "_topics")
+
+
+def score_utterance(text: Column, themes: Column, mood: Column, asked: Column, wanted: Column, used: Column) -> Column:
+    """How well an utterance fits the themes asked and moods wanted; one that was used before falls behind all."""
+    fits = 3.0 * F.size(F.array_intersect(themes, asked)) + F.when(F.array_contains(wanted, mood), 1.5).otherwise(0.0)
+    return fits - F.when(F.array_contains(used, text), 100.0).otherwise(0.0) + F.least(F.lit(2.0), F.length(text) / 200)

@@ -384,6 +384,17 @@ def question_intent(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.detect_intent(F.col("text")).alias("intent"))
 
 
+def _topics_sql() -> str:
+    quoted = lambda w: "'" + w.replace("'", "''") + "'"
+    cases = ", ".join(f"CASE WHEN {' OR '.join(f'contains(lower(text), {quoted(w)})' for w in words)} THEN {quoted(key)} END" for key, words in text.TOPICS.items())
+    return f"SELECT conv_id, turn, concat_ws(',', {cases}) AS topics FROM conversations"
+
+
+@query_of(_topics_sql())
+def question_topics(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(text.told(F.col("text")), ",").alias("topics"))
+
+
 def _markup_sql() -> str:
     out = "html"
     for pattern, by in text.MARKUP:

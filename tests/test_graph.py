@@ -162,3 +162,26 @@ def test_text(spark):
     assert [one(text.stem(F.lit(w))) for w in ("tags", "categories", "branches", "class")] == ["tag", "category", "branche", "class"]
     assert one(text.detect_intent(F.lit("How do I undo my last commit?"))) == "how-to"
     assert one(text.split_sentences(F.lit("This is a first sentence. And this is another one."))) == ["This is a first sentence.", "And this is another one."]
+
+
+def test_questions_find_topics_moods_and_items(spark):
+    q = spark.createDataFrame([("How do I undo my last commit?",), ("why stop",), (None,), ("hello there",)], "question string")
+    rows = q.select(text.told(F.col("question")).alias("t"), text.moods(F.col("question")).alias("m")).collect()
+    assert [r["t"] for r in rows] == [["commit", "undo"], [], [], []]
+    assert rows[1]["m"] == ["philosophical", "reflective", "anguished", "defiant", "oratorical", "commanding"]
+    items = [
+        {"item_id": "rename", "topic": "branch", "intent": "how-to", "question_patterns": ["rename a branch"]},
+        {"item_id": "undo", "topic": "commit", "intent": "how-to", "question_patterns": ["undo last commit", "undo my last commit"]},
+        {"item_id": "near", "topic": "commit", "intent": "why", "question_patterns": ["how do i lose it"]},
+    ]
+    best = text.best_items(q, items, 3).collect()
+    # 3 topic + 1 intent + 3 for each of undo, last, commit + 15 verbatim; 3 topic + 5 for three words in a row; 1 intent
+    assert [tuple(x) for x in best[0]["items"]] == [(28.0, "undo"), (8.0, "near"), (1.0, "rename")]
+    assert [tuple(x) for x in best[3]["items"]] == [(1.0, "rename"), (1.0, "undo")]
+
+
+def test_utterances_score_by_theme_mood_and_freshness(spark):
+    u = spark.createDataFrame([("x" * 100, ["sea", "fate"], "weary"), ("y" * 900, ["sea"], "exalted")], "text string, themes array<string>, mood string")
+    words = lambda *w: F.array(*map(F.lit, w)).cast("array<string>")
+    s = text.score_utterance(F.col("text"), F.col("themes"), F.col("mood"), words("sea", "fate"), words("weary"), words("y" * 900))
+    assert [r[0] for r in u.select(s).collect()] == [8.0, -95.0]
