@@ -3,6 +3,7 @@
 A text's lines are cut after a line where a hash rolling over it and the line before is divisible by the mean
 chunk length, so that boundaries follow the content and survive shifts. Chunks of two lines or more that show
 again, anywhere, are removed but for their first place; hashes find candidates, the chunks' own bytes decide.
+Repeats without a boundary on either side stay; `dedupe_runs` finds those too, by every pair of lines.
 """
 
 from __future__ import annotations
@@ -100,6 +101,42 @@ def dedupe_lines(docs: DataFrame, mean: int = MEAN, least: int = LEAST) -> DataF
     return others.join(done, "_row").select(*[F.when(F.col("_has"), F.col("_text")).alias("text") if c == "text" else F.col(c) for c in names], *added)
 
 
+def dedupe_runs(docs: DataFrame) -> DataFrame:
+    """docs with n_lines, n_removed_lines and kept_text; other columns stay.
+
+    Each line of a run of two lines or more that shows at an earlier place goes, wherever the run begins: every pair
+    of neighbouring lines is looked up, so that nothing depends on boundaries. Pairs are equal if their SHA-256 is.
+    Places are ordered by doc_id (null ids last), then row, then line, so that of each line one place stays. Two lines
+    of white space are no repeat. Rows that are the same in doc_id and text are one document, and each keeps what
+    that keeps. Null text is one empty line. An empty table gives no rows.
+    """
+    added = ("n_lines", "n_removed_lines", "kept_text")
+    names = [c for c in docs.columns if c not in added]
+    rows = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("string"), text_of())).withColumn("_lines", F.split(text_of(), "\n", -1))
+
+    def pairs(lines: Column) -> Column:
+        def one(line: Column, i: Column) -> Column:
+            both = F.concat_ws("\n", line, F.get(lines, i + 1))
+            return F.when((i + 1 < F.size(lines)) & both.rlike(r"\S"), F.struct(i.alias("i"), F.unhex(F.sha2(both.cast("binary"), 256)).alias("h")))
+
+        return F.filter(F.transform(lines, one), lambda x: x.isNotNull())
+
+    places = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"), "_row", F.explode(let(F.col("_lines"), pairs)).alias("p"))
+    places = places.select("p.h", F.struct("d", "_row", "p.i").alias("at"))
+    first = places.groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").select("h", "first")
+    gone = places.join(first, "h").where("at <> first").groupBy("at._row").agg(F.collect_set("at.i").alias("_gone"))
+    none = F.array().cast("array<int>")
+    parts = rows.join(gone, "_row", "left").withColumn("_gone", F.coalesce("_gone", none))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.concat("_gone", F.transform("_gone", lambda i: i + 1)))
+    parts = parts.withColumn("_left", left)
+    return parts.select(
+        *names,
+        F.size("_lines").cast("long").alias("n_lines"),
+        (F.size("_lines") - F.size("_left")).cast("long").alias("n_removed_lines"),
+        F.array_join(F.transform("_left", lambda i: F.get("_lines", i)), "\n").alias("kept_text"),
+    )
+
+
 def op6_line_chunk_dedup(spark, sf_dir: str) -> DataFrame:
     out = dedupe_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.md5(F.col("kept_text").cast("binary")).alias("kept_md5"))

@@ -169,6 +169,39 @@ def test_line_chunks(spark):
     assert removed > 20 and linechunks.dedupe_lines(docs(spark, [])).count() == 0
 
 
+def test_repeated_runs(spark):
+    r = random.Random(7)
+    lines = [f"line {i}" for i in range(400)]
+    rows = []
+    for i in range(60):  # runs of 2 to 6 shared lines inside different texts
+        at, n = r.randint(0, 60), r.randint(2, 6)
+        rows.append((i, "\n".join([f"own {i}", *lines[at : at + n], f"more {i}", *r.choices(lines, k=3)])))
+    rows += [(70, None), (71, ""), (72, "\n\n"), (73, "\n\n"), (74, "x\nx\nx"), (75, rows[3][1]), (None, rows[4][1]), (76, rows[5][1] + "\nend"), (76, rows[5][1] + "\nend")]
+    got = {x["doc_id"]: x for x in linechunks.dedupe_runs(crossed(docs(spark, rows))).collect()}
+    seen = set()
+    for i, t in sorted(rows[:-1], key=lambda x: (x[0] is None, x[0] or 0)):
+        ls = (t or "").split("\n")
+        cut = set()
+        for k, pair in enumerate(zip(ls, ls[1:])):
+            if any(map(str.strip, pair)):
+                cut |= {k, k + 1} if pair in seen else set()
+                seen.add(pair)
+        assert got[i]["kept_text"] == "\n".join(x for k, x in enumerate(ls) if k not in cut), i
+        assert (got[i]["n_lines"], got[i]["n_removed_lines"]) == (len(ls), len(cut)), i
+    kept = {x for g in got.values() for x in g["kept_text"].split("\n")}
+    assert kept >= {x for _, t in rows for x in (t or "").split("\n")}
+    assert linechunks.dedupe_runs(docs(spark, rows)).count() == len(rows) and linechunks.dedupe_runs(docs(spark, [])).count() == 0
+
+
+def test_pipeline_drops_short_runs_of_lines(spark):
+    import corpus_pipeline as p
+
+    run = [f"shared passage line {i} of five" for i in range(5)]
+    rows = [(i, "\n".join([f"start {i}", f"second {i}", *run[i % 2 :], f"end {i}"])) for i in range(2, 12)]
+    got = {x["doc_id"]: x["text"] for x in p.lines(spark, docs(spark, rows), "").collect()}
+    assert got.pop(2) == rows[0][1] and all(t == f"start {i}\nsecond {i}\nend {i}" for i, t in got.items())
+
+
 def test_packing(spark):
     import public_tokenizers as P
     from tokenizers import Tokenizer
