@@ -283,6 +283,15 @@ def test_decontamination(spark):
         assert decontam.lcs(a, b) == table[8][9]
 
 
+def test_decontamination_ignores_case_of_all_letters(spark):
+    accented = str.maketrans("aeoj", "áéöñ")
+    rows, items = texts(60, 14), [(i, t.translate(accented)) for i, t in texts(8, 15)] + [(8, "straße über çà et là où naît l'été " * 3)]
+    leaked = [(500 + i, rows[i][1] + " " + t.upper() + " " + rows[i + 1][1]) for i, t in items]
+    leaked += [(600 + i, rows[i][1] + " " + "".join(c.upper() if n % 3 else c for n, c in enumerate(t)) + " " + rows[i + 1][1]) for i, t in items]
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs(spark, rows + leaked), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(n + i, i) for n in (500, 600) for i, _ in items}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 
