@@ -292,6 +292,19 @@ def test_decontamination_ignores_case_of_all_letters(spark):
     assert got == {(n + i, i) for n in (500, 600) for i, _ in items}
 
 
+def test_decontamination_without_ids(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rows, items = texts(60, 16), texts(3, 17)
+    leaked = [(None, rows[0][1] + " " + items[0][1]), (501, rows[1][1] + " " + items[1][1]), (None, rows[2][1] + " " + items[1][1])]
+    spark.createDataFrame([items[0], (None, items[1][1]), items[2]], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    every = docs(spark, rows + leaked + [(None, rows[3][1]), (None, None)])
+    found = decontam.leaks(every, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect()
+    assert sorted((str(r["doc_id"]), str(r["item_id"])) for r in found) == [("501", "None"), ("None", "0"), ("None", "None")]
+    left = [(r["doc_id"], r["text"]) for r in p.decontaminate(spark, every, str(tmp_path)).collect()]
+    assert sorted(left, key=str) == sorted(rows + [(None, rows[3][1]), (None, None)], key=str)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 
