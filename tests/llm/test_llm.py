@@ -107,9 +107,46 @@ def test_language(spark):
     got = {r["doc_id"]: r for r in language.identify(crossed(docs(spark, rows)), model).collect()}
     assert all(got[i]["lang_pred"] == "aa" for i, _ in one[40:]) and all(got[100 + i]["lang_pred"] == "bb" for i, _ in two[40:])
     assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[902]["lang_pred"] == "aa"
-    pieces = {p: i for i, p in enumerate([b"a", b"b", b"ab"])}
-    tiny = language.Model(["x"], list(pieces), np.array([[0.5], [0.3], [0.2]]))
-    assert tiny.word(b"abab")[0] == pytest.approx(2 * math.log(0.5 * 0.3 + 0.2)) and tiny.many([b"abab"])[0, 0] == pytest.approx(tiny.word(b"abab")[0])
+
+
+def all_segmentations(word, prob):
+    """The summed probability of every way to cut the word into pieces, one by one."""
+    if not word:
+        return 1.0
+    return sum(prob[p] * all_segmentations(word[len(p) :], prob) for p in prob if word.startswith(p))
+
+
+def test_words_sum_over_all_segmentations():
+    r = random.Random(20)
+    pieces = [b"a", b"b", b"3", b".", b"ab", b"ba", b"aba", b"bbab", b"a" * 12, b"..", b"..."]
+    prob = np.array([[r.random(), r.random()] for _ in pieces])
+    model = language.Model(["x", "y"], pieces, prob / prob.sum(0))
+    some = [bytes(r.choices(b"ab3.", k=r.randint(1, 12))) for _ in range(60)] + [b"a" * 12, b"..."]
+    for w, got in zip(some, model.many(some)):
+        for g in range(2):
+            want = math.log(all_segmentations(w, dict(zip(pieces, model_column(model, g)))))
+            assert got[g] == pytest.approx(want) and model.word(w)[g] == pytest.approx(want)
+    long = [bytes(r.choices(b"ab3.", k=n)) for n in (64, 65, 300, 5000)]
+    for w, got in zip(long, model.many(long)):
+        ways = [[1.0] + [0.0] * len(w), [0.0] * (len(w) + 1)]  # values, exponents of two
+        for e in range(1, len(w) + 1):
+            terms = [(ways[0][e - len(p)] * model_column(model, 1)[k], ways[1][e - len(p)]) for k, p in enumerate(pieces) if w[:e].endswith(p)]
+            top = max(x for _, x in terms)
+            m, x = math.frexp(sum(v * 2.0 ** (y - top) for v, y in terms))
+            ways[0][e], ways[1][e] = m, x + top
+        assert got[1] == pytest.approx(math.log(ways[0][-1]) + ways[1][-1] * math.log(2))
+
+
+def model_column(model, g):
+    return np.exp(model.logs[:, g]).tolist()
+
+
+def test_language_keeps_marks_digits_and_all_pieces():
+    assert language.split("Straße-42, don't\t3.14") == ["straße".encode(), b"don", b"t", b"-42,", b"'", b"3.14"]
+    assert max(map(len, language.vocabulary())) == 128 and b"...." in language.vocabulary()
+    model = language.fit({"aa": {b" word": 9, b"11": 9}, "bb": {b" word": 9, b"77": 9, b"q" * 300: 2}})
+    assert model.many([b"11"])[0].argmax() == 0 and model.many([b"77"])[0].argmax() == 1 and model.many([b"q" * 90])[0].argmax() == 1
+    assert np.exp(model.logs).sum(0) == pytest.approx([1, 1])
 
 
 def test_substrings_against_all_windows(spark):
@@ -207,7 +244,8 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     tokens = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    rows = ODD + texts(200)
+    special = [(400 + i, t) for i, t in enumerate(["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "two  spaces \n and\ttabs ", "it's 3.14, \"so\". \0 end", " ", "  "])]
+    rows = ODD + texts(200) + special
     got = packing.pack_documents(crossed(docs(spark, rows))).collect()
     place = {}
     for r in got:
@@ -226,6 +264,9 @@ def test_packing(spark):
             assert set(want) <= set(mine)
     assert len(place) <= math.ceil(sum(r["length"] for r in got) / 1024 * 1.05) + 1
     assert packing.pack_documents(docs(spark, [])).count() == 0
+    r, some = random.Random(21), ["a", "Bé", "22", ".", ",", "'s", "n't", " ", "  ", "\n", "\t", "\x85", "<|endoftext|>", "<|", "\0", "日本", "-", " '"]
+    for x in ("".join(r.choices(some, k=r.randint(0, 9))) for _ in range(3000)):
+        assert np.frombuffer(packing.encoder().encode([x])[0], "<u4").tolist() == tokens.encode(x, add_special_tokens=False).ids, repr(x)
 
 
 def test_toxicity(spark):
