@@ -8,8 +8,9 @@ list of intervals of ranks within a length, joined back to the pieces.
 
 from __future__ import annotations
 
-import base64
 import bisect
+import os
+import re
 import zlib
 
 import numpy as np
@@ -20,18 +21,58 @@ from pyspark.sql import functions as F
 from factloom.llm.common import documents, text_of, written
 
 CAPACITY, END = 1024, 2
+#: Words whose ids a worker remembers at once (memory only; others are encoded again).
+REMEMBER = 600_000
+MARK = re.compile(r"(?<=[A-Za-z0-9])[,.;:!?\n]")
 #: Pieces that share a rank group; ranks are counted within groups and offset by the groups before.
 RANK_GROUP = 50_000
 
 
-def encoder(path: str | None = None):
-    """The encoder of a public byte-level vocabulary (a file of base64 pieces and ranks)."""
-    import public_tokenizers as P
-    import tiktoken
+class Encoder:
+    """Token ids of texts by a public tokenizer's file, special tokens in a text included.
 
-    with open(path or P.path("byte_bpe_50k.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    Words repeat, so most texts are encoded word by word and each word once: the tokenizer parts a text at every
+    single space between other characters, and between a letter or digit and a mark, whatever stands around them. Texts with other runs of white space or with
+    a special token's text are encoded whole.
+    """
+
+    def __init__(self, path: str | None = None):
+        import public_tokenizers as P
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path or P.path("byte_bpe_50k.json"))
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([r"\s |\s$| (?=\s)", *map(re.escape, self.special)]))
+        self.words: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        many = lambda x: [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(x, add_special_tokens=False)]
+        plain = lambda t: len(t.split()) == t.count(" ") + t.count("\n") + 1 and not any(x in t for x in self.special)
+        alone = [n for n, t in enumerate(texts) if not plain(t) and self.whole.search(t)]
+        out = dict(zip(alone, many([texts[n] for n in alone])))
+        if len(self.words) > REMEMBER:
+            self.words = {}
+        parts = {n: self.parts(t) for n, t in enumerate(texts) if n not in out}
+        new = list(dict.fromkeys(w for p in parts.values() for w in p if w not in self.words))
+        self.words.update(zip(new, many(new)))
+        for n, p in parts.items():
+            out[n] = b"".join(map(self.words.__getitem__, p))
+        return [out[n] for n in range(len(texts))]
+
+    @staticmethod
+    def parts(text: str) -> list[str]:
+        """The text cut before each space, and between a letter or digit and a mark that ends words."""
+        return MARK.sub("\0\\g<0>", text.replace(" ", "\0 ")).split("\0") if "\0" not in text else [text]
+
+
+_encoders: dict[str | None, Encoder] = {}
+
+
+def encoder(path: str | None = None) -> Encoder:
+    """This process's encoder, kept over its tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    return _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -110,12 +151,13 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str
 
     def encode(batches):
         enc = encoder(path)
+        last = np.array([end], "<u4").tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.array([*enc.encode_ordinary(text), end], "<u4")
-                for i, (s, n) in enumerate(cut(len(ids), capacity)):
-                    for column, x in zip(out, (doc, i, s, n, zlib.crc32(ids[s : s + n].tobytes()))):
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
+                ids += last
+                for i, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
+                    for column, x in zip(out, (doc, i, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]))):
                         column.append(x)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
