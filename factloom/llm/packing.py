@@ -12,6 +12,7 @@ import bisect
 import os
 import re
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,10 @@ from pyspark.sql import functions as F
 from factloom.llm.common import documents, text_of, written
 
 CAPACITY, END = 1024, 2
-#: Words whose ids a worker remembers at once (memory only; others are encoded again).
-REMEMBER = 600_000
-MARK = re.compile(r"(?<=[A-Za-z0-9])[,.;:!?\n]")
+#: Words whose ids a worker remembers at once (memory only; others are encoded again), and characters of texts whose
+#: words are looked up together.
+REMEMBER, TOGETHER = 500_000, 1_000_000
+MARKS = ",.;:!?"
 #: Pieces that share a rank group; ranks are counted within groups and offset by the groups before.
 RANK_GROUP = 50_000
 
@@ -32,7 +34,7 @@ class Encoder:
     """Token ids of texts by a public tokenizer's file, special tokens in a text included.
 
     Words repeat, so most texts are encoded word by word and each word once: the tokenizer parts a text at every
-    single space between other characters, and between a letter or digit and a mark, whatever stands around them. Texts with other runs of white space or with
+    single space between other characters, whatever stands around it. Texts with other runs of white space or with
     a special token's text are encoded whole.
     """
 
@@ -43,27 +45,54 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path or P.path("byte_bpe_50k.json"))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([r"\s |\s$| (?=\s)", *map(re.escape, self.special)]))
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.words: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        many = lambda x: [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(x, add_special_tokens=False)]
+        out, low, size = [], 0, 0
+        for high, t in enumerate(texts, 1):
+            size += len(t)
+            if size > TOGETHER or high == len(texts):
+                out += self.some(texts[low:high])
+                low, size = high, 0
+        return out
+
+    def some(self, texts: list[str]) -> list[bytes]:
         plain = lambda t: len(t.split()) == t.count(" ") + t.count("\n") + 1 and not any(x in t for x in self.special)
         alone = [n for n, t in enumerate(texts) if not plain(t) and self.whole.search(t)]
-        out = dict(zip(alone, many([texts[n] for n in alone])))
-        if len(self.words) > REMEMBER:
-            self.words = {}
-        parts = {n: self.parts(t) for n, t in enumerate(texts) if n not in out}
-        new = list(dict.fromkeys(w for p in parts.values() for w in p if w not in self.words))
-        self.words.update(zip(new, many(new)))
+        out = dict(zip(alone, self.each([texts[n] for n in alone])))
+        parts = {n: t.replace(" ", "\0 ").split("\0") if "\0" not in t else [t] for n, t in enumerate(texts) if n not in out}
+        if len(self.words) > REMEMBER:  # what came first comes most
+            self.words = dict(islice(self.words.items(), REMEMBER // 2))
+        new: set[str] = set()
+        for p in parts.values():
+            new.update(set(p).difference(self.words))
+        self.learn(new)
         for n, p in parts.items():
             out[n] = b"".join(map(self.words.__getitem__, p))
         return [out[n] for n in range(len(texts))]
 
-    @staticmethod
-    def parts(text: str) -> list[str]:
-        """The text cut before each space, and between a letter or digit and a mark that ends words."""
-        return MARK.sub("\0\\g<0>", text.replace(" ", "\0 ")).split("\0") if "\0" not in text else [text]
+    def each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: set[str]) -> None:
+        """Words with a space before them are encoded as one text with line ends between, which are tokens of their own.
+
+        A mark after a letter or digit is a token of its own, too, so a word with one is the word and the mark.
+        """
+        lines = {w for w in new if w[:1] == " " and "\n" not in w}
+        marked = {w for w in lines if w[-1] in MARKS and w[-2].isalnum()}
+        bare = list((lines - marked).union(x for w in marked for x in (w[:-1], w[-1])).difference(self.words))
+        if bare:
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([*bare, ""])], add_special_tokens=False)[0].ids, "<u4")
+            raw, start = ids.tobytes(), 0
+            for w, e in zip(bare, (4 * np.flatnonzero(ids == self.newline)).tolist()):
+                self.words[w] = raw[start:e]
+                start = e + 4
+        self.words.update((w, self.words[w[:-1]] + self.words[w[-1]]) for w in marked)
+        rest = list(new - lines)
+        self.words.update(zip(rest, self.each(rest)))
 
 
 _encoders: dict[str | None, Encoder] = {}
