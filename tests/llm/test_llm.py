@@ -79,6 +79,30 @@ def test_top_k_is_exact(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.0, 1.0])
+def test_top_k_prunes_and_stays_exact(spark, spread):
+    """Lengths alike (coordinates prune) and lengths far apart (lengths prune, whole buckets are skipped)."""
+    r = np.random.default_rng(30)
+    v = r.normal(size=(3000, 24))
+    v *= np.exp(spread * r.normal(size=3000))[:, None] / np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    q = np.floor(1024 * v).astype(np.int64)
+    want = {}
+    for i in range(0, 3000, 60):
+        s = q @ q[i]
+        want[i] = [(int(s[j]), j) for j in np.lexsort((np.arange(3000), -s)) if j != i][:10]
+    shares = []
+    for block, bucket in ((16_384, 128), (20, 128), (16_384, 4000)):  # one block of queries, several, one bucket
+        counter = spark.sparkContext.accumulator([0, 0], topk.Pairs())
+        got = {}
+        for x in sorted(topk.top_k(df, df.where("vec_id % 60 = 0"), block=block, bucket=bucket, seeds=500, counter=counter).collect()):
+            got.setdefault(x["query_id"], []).append((x["score"], x["vec_id"]))
+        assert got == want
+        assert counter.value[1] == 50 * 3000
+        shares.append(counter.value[0] / counter.value[1])
+    assert max(shares[:2]) < 0.35, shares
+
+
 def test_near_duplicates(spark):
     rows = ODD + texts(60) + [(1000 + i, t + " end") for i, t in texts(20)]
     got = simhash.near_duplicates(crossed(docs(spark, rows))).collect()
