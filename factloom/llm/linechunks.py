@@ -49,56 +49,63 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The input row as one struct, so that no name of its clashes, with its text, its place in order and its key."""
+    same = F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text_of())
+    return docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        text_of().alias("text"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"),
+        F.unhex(F.md5(same.cast("binary"))).alias("k"),
+    )
+
+
+def has(numbers: str, no: Column) -> Column:
+    return F.array_contains(F.coalesce(F.col(numbers), F.array().cast("array<int>")), no)
+
+
 def dedupe_lines(docs: DataFrame, mean: int = MEAN, least: int = LEAST) -> DataFrame:
     """docs with n_lines, n_chunks, n_removed_chunks, n_removed_lines and kept_text; other columns stay.
 
     The first place of a chunk is its smallest (doc_id, number in the document); null ids come last. Null text is
     empty (one line, one chunk, kept as it is). A chunk that repeats within one document is removed there too.
-    Rows that are the same in doc_id and text are one document, and each keeps what that keeps. An empty table gives
-    no rows.
+    Rows that are the same in doc_id and text are one document, and each keeps what that keeps. Input columns of the
+    added names are replaced; all other names are left alone. An empty table gives no rows.
+
+    No join is on a chunk: a chunk's first place is a minimum, found with partial sums on each side, and goes to the
+    row that holds it; a row's chunks that are first nowhere are repeats. So no task holds a common chunk's rows.
     """
     added = ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", "kept_text")
-    key = F.xxhash64(F.col("doc_id").cast("string"), text_of())
-    rows = docs.withColumn("_text", text_of()).withColumn("_row", key)
-    cut = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"), "_row", F.explode(chunks(F.col("_text"), mean)).alias("c"))
-    cut = cut.where(F.col("c.lines") >= least)
-    small = cut.select("d", "_row", F.col("c.no").alias("no"), F.md5(F.col("c.body").cast("binary")).alias("h"))
-    again = small.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    candidates = written(small.join(again, "h", "left_semi").groupBy("_row").agg(F.collect_set("no").alias("nos"), F.min("d").alias("d")))
+    rows = keyed(docs)
+    cut = rows.select("d", "k", F.explode(chunks(F.col("text"), mean)).alias("c")).where(F.col("c.lines") >= least)
+    place = F.struct("d", F.col("c.no").alias("no"), "k")
+    firsts = cut.groupBy(F.unhex(F.md5(F.col("c.body").cast("binary"))).alias("h")).agg(F.min(place).alias("f"), F.count("*").alias("n"))
+    # a row's chunks that are the first of their hash, and those of them that have others
+    candidates = written(firsts.groupBy("f.k").agg(F.collect_set("f.no").alias("first"), F.collect_set(F.when(F.col("n") > 1, F.col("f.no"))).alias("lead")))
     # Texts are dealt by row once, without other columns: candidates' bytes and the final texts read the same exchange.
-    texts = rows.select("_row", "_text").dropDuplicates(["_row"])
-    dealt = texts.join(candidates, "_row", "left")
+    dealt = rows.select("k", "d", "text").dropDuplicates(["k"]).join(candidates, "k", "left")
+    again = lambda c: (c["lines"] >= least) & (~has("first", c["no"]) | has("lead", c["no"]))
     # only candidate chunks carry their bytes
-    bodies = (
-        dealt.where(F.col("nos").isNotNull())
-        .select("d", "_row", "nos", F.explode(chunks(F.col("_text"), mean)).alias("c"))
-        .where(F.expr("array_contains(nos, c.no)"))
-        .select("d", "_row", F.col("c.no").alias("no"), F.col("c.body").alias("body"))
-    )
-    first = bodies.groupBy("body").agg(F.min(F.struct("d", "no", "_row")).alias("f"))
-    gone = (
-        bodies.join(first, "body")
-        .where((F.col("d") != F.col("f.d")) | (F.col("no") != F.col("f.no")) | (F.col("_row") != F.col("f._row")))
-        .groupBy("_row")
-        .agg(F.collect_set("no").alias("_gone"))
-    )
-    parts = dealt.join(gone, "_row", "left").withColumn("_c", chunks(F.col("_text"), mean))
-    removed = F.filter("_c", lambda c: F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), c["no"]))
-    kept = F.filter("_c", lambda c: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), c["no"]))
+    bodies = dealt.select("d", "k", F.explode(F.filter(chunks(F.col("text"), mean), again)).alias("c"))
+    place = F.struct("d", F.col("c.no").alias("no"), "k")
+    keep = bodies.groupBy("c.body").agg(F.min(place).alias("f")).groupBy("f.k").agg(F.collect_set("f.no").alias("keep"))
+    parts = dealt.join(keep, "k", "left").withColumn("c", chunks(F.col("text"), mean))
+    gone = lambda c: again(c) & ~has("keep", c["no"])
     add = lambda a, c: a + c["lines"]
     zero = F.lit(0).cast("int")
-    done = parts.select(
-        "_row",
-        "_text",
-        F.aggregate("_c", zero, add).cast("long").alias("n_lines"),
-        F.size("_c").cast("long").alias("n_chunks"),
-        F.size(removed).cast("long").alias("n_removed_chunks"),
-        F.aggregate(removed, zero, add).cast("long").alias("n_removed_lines"),
-        F.array_join(F.transform(kept, lambda c: c["body"]), "\n").alias("kept_text"),
+    done = parts.withColumn("gone", F.filter("c", gone)).select(
+        "k",
+        F.struct(
+            F.aggregate("c", zero, add).cast("long").alias("n_lines"),
+            F.size("c").cast("long").alias("n_chunks"),
+            F.size("gone").cast("long").alias("n_removed_chunks"),
+            F.aggregate("gone", zero, add).cast("long").alias("n_removed_lines"),
+            F.array_join(F.transform(F.filter("c", lambda c: ~gone(c)), lambda c: c["body"]), "\n").alias("kept_text"),
+        ).alias("new"),
     )
     names = [c for c in docs.columns if c not in added]
-    others = rows.select(*[c for c in names if c != "text"], "_row", F.col("text").isNotNull().alias("_has"))
-    return others.join(done, "_row").select(*[F.when(F.col("_has"), F.col("_text")).alias("text") if c == "text" else F.col(c) for c in names], *added)
+    out = F.struct(*(F.col("row")[c].alias(c) for c in names), *(F.col("new")[c].alias(c) for c in added))
+    return rows.select("row", "k").join(done, "k").select(out.alias("out")).select("out.*")
 
 
 def dedupe_runs(docs: DataFrame) -> DataFrame:
@@ -108,33 +115,34 @@ def dedupe_runs(docs: DataFrame) -> DataFrame:
     of neighbouring lines is looked up, so that nothing depends on boundaries. Pairs are equal if their SHA-256 is.
     Places are ordered by doc_id (null ids last), then row, then line, so that of each line one place stays. Two lines
     of white space are no repeat. Rows that are the same in doc_id and text are one document, and each keeps what
-    that keeps. Null text is one empty line. An empty table gives no rows.
+    that keeps. Null text is one empty line. Input columns of the added names are replaced. An empty table gives no
+    rows. As in `dedupe_lines`, no join is on a pair: first places go to the rows that hold them.
     """
     added = ("n_lines", "n_removed_lines", "kept_text")
-    names = [c for c in docs.columns if c not in added]
-    rows = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("string"), text_of())).withColumn("_lines", F.split(text_of(), "\n", -1))
+    rows = keyed(docs).withColumn("lines", F.split("text", "\n", -1)).drop("text")
+
+    def pairs(lines: Column, use) -> Column:
+        """use(number, both lines) of each pair that is not of white space only."""
 
-    def pairs(lines: Column) -> Column:
         def one(line: Column, i: Column) -> Column:
             both = F.concat_ws("\n", line, F.get(lines, i + 1))
-            return F.when((i + 1 < F.size(lines)) & both.rlike(r"\S"), F.struct(i.alias("i"), F.unhex(F.sha2(both.cast("binary"), 256)).alias("h")))
+            return F.when((i + 1 < F.size(lines)) & both.rlike(r"\S"), use(i, both))
 
         return F.filter(F.transform(lines, one), lambda x: x.isNotNull())
 
-    places = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"), "_row", F.explode(let(F.col("_lines"), pairs)).alias("p"))
-    places = places.select("p.h", F.struct("d", "_row", "p.i").alias("at"))
-    first = places.groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").select("h", "first")
-    gone = places.join(first, "h").where("at <> first").groupBy("at._row").agg(F.collect_set("at.i").alias("_gone"))
-    none = F.array().cast("array<int>")
-    parts = rows.join(gone, "_row", "left").withColumn("_gone", F.coalesce("_gone", none))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.concat("_gone", F.transform("_gone", lambda i: i + 1)))
-    parts = parts.withColumn("_left", left)
-    return parts.select(
-        *names,
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size("_left")).cast("long").alias("n_removed_lines"),
-        F.array_join(F.transform("_left", lambda i: F.get("_lines", i)), "\n").alias("kept_text"),
+    sha = lambda i, both: F.struct(i.alias("i"), F.unhex(F.sha2(both.cast("binary"), 256)).alias("h"))
+    places = rows.select("d", "k", F.explode(pairs(F.col("lines"), sha)).alias("p"))
+    first = places.groupBy("p.h").agg(F.min(F.struct("d", "k", "p.i")).alias("f")).groupBy("f.k").agg(F.collect_set("f.i").alias("first"))
+    parts = rows.join(first, "k", "left").withColumn("gone", F.array_except(pairs(F.col("lines"), lambda i, both: i), F.coalesce("first", F.array().cast("array<int>"))))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.concat("gone", F.transform("gone", lambda i: i + 1)))
+    names = [c for c in docs.columns if c not in added]
+    out = F.struct(
+        *(F.col("row")[c].alias(c) for c in names),
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size("left")).cast("long").alias("n_removed_lines"),
+        F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n").alias("kept_text"),
     )
+    return parts.withColumn("left", left).select(out.alias("out")).select("out.*")
 
 
 def op6_line_chunk_dedup(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,9 @@ def docs(spark, rows):
 
 def crossed(df):
     """With further columns whose names clash with those that operators use."""
-    return df.withColumn("g", F.lit(1)).withColumn("key", F.lit("k")).withColumn("score", F.lit(0.5)).withColumn("f", F.lit(2))
+    for name in ("g", "key", "score", "f", "k", "d", "c", "h", "row", "_row", "_text", "_has", "_lines", "gone", "first", "keep", "lines", "new", "rank", "n", "to", "kind", "data", "held"):
+        df = df if name in df.columns else df.withColumn(name, F.lit("clash"))
+    return df
 
 
 def texts(n, seed=1):
@@ -228,6 +230,8 @@ def test_line_chunks(spark):
             seen.add(tuple(c))
         assert got[i]["kept_text"] == "\n".join(kept), i
     assert removed > 20 and linechunks.dedupe_lines(docs(spark, [])).count() == 0
+    assert {r["_row"] for r in got.values()} == {r["d"] for r in got.values()} == {"clash"} and got[3]["text"] is None
+    assert linechunks.dedupe_lines(docs(spark, rows)).count() == len(rows)
 
 
 def test_repeated_runs(spark):
