@@ -306,6 +306,28 @@ def test_toxicity(spark):
     assert np.mean([(got[i] >= 0.5) == (i % 4 == 0) for i in held]) > 0.9 and got[900] == got[901]
 
 
+def test_network_pools_as_brute_force_and_learns_from_random_starts():
+    r = np.random.default_rng(31)
+    net = toxicity.Network(seed=2)
+    for n in (1, 2, 3, 40):
+        x = r.normal(size=(n, toxicity.DIM)).astype(np.float32)
+        padded = np.concatenate([x, np.zeros((max(0, 3 - n), toxicity.DIM), np.float32)])
+        want = []
+        for f, b in zip(net.filters, net.bias):
+            for k in range(toxicity.FILTERS):
+                want.append(max(0.0, max(float((padded[i : i + len(f)] * f[:, :, k]).sum()) for i in range(len(padded) - len(f) + 1)) + float(b[k])))
+        z = sum(float(o) * w for o, w in zip(net.out, want)) + float(net.at)
+        assert net.pooled(x)[0] == pytest.approx(np.array(want), abs=1e-5) and net.score(x) == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+    bad = ["vilelish", "gruntfool", "mockwort"]
+    rows = [(t + " " + bad[i % 3] if i % 4 == 0 else t, int(i % 4 == 0)) for i, t in texts(400, 32)]
+    seen = [toxicity.buckets(t) for t, _ in rows]
+    net.fit(seen[:240], [y for _, y in rows[:240]])
+    got = [net.score(net.table[b].sum(1)) >= 0.5 for b in seen[240:]]
+    assert np.mean([g == bool(y) for g, (_, y) in zip(got, rows[240:])]) > 0.95
+    net.calibrate(seen[240:], [y for _, y in rows[240:]], ["aa" if i % 2 else "bb" for i in range(160)])
+    assert set(net.thresholds) == {"aa", "bb"} and all(0 < x < 1 for x in net.thresholds.values())
+
+
 def test_katz_sums_to_one_and_matches_brute_force(spark):
     rows = [(i, t) for i, t in ODD if i is not None and i != 7] + texts(80, 9)[10:]
     held = {i for i, _ in rows if i % 5 == 1}
