@@ -25,6 +25,25 @@ def date_ord(text: Column) -> Column:
     )
 
 
+def ord_of_date(day: Column) -> Column:
+    """The ordinal of a date."""
+    return F.year(day).cast("long") * YEAR + (F.month(day) - 1) * MONTH + F.dayofmonth(day) - 1
+
+
+def is_unbounded(low: Column, high: Column) -> Column:
+    """Neither end is a date."""
+    return date_ord(low).isNull() & date_ord(high).isNull()
+
+
+def is_instant(low: Column, high: Column) -> Column:
+    return yes(date_ord(low) == date_ord(high))
+
+
+def is_empty(low: Column, high: Column) -> Column:
+    """The start comes after the end, as in the interval of what excludes itself, 1 to 0."""
+    return yes(date_ord(low) > date_ord(high))
+
+
 def yes(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 

@@ -79,10 +79,10 @@ def chain_query(g: Graph, start: str | DataFrame, relations: list[str]) -> DataF
     return at
 
 
-def find_paths(g: Graph, start: str, end: str, max_hops: int = 4, max_paths: int = 5) -> DataFrame:
+def find_paths(g: Graph, start: str, end: str, max_hops: int = 4, max_paths: int | None = 5) -> DataFrame:
     """Shortest undirected paths as arrays of triple_id: breadth first, one predecessor a node, all into the end.
 
-    start = end: one empty path. Each hop is one join on the frontier; the loop stops at the first hop that
+    start = end: one empty path; max_paths None: all. Each hop is one join on the frontier; the loop stops at the first hop that
     arrives.
     """
     spark, names = g.spark, [canonicalize(g, start), canonicalize(g, end)]
@@ -90,21 +90,21 @@ def find_paths(g: Graph, start: str, end: str, max_hops: int = 4, max_paths: int
     if same:
         return spark.range(1).select(F.array().cast("array<bigint>").alias("path"))
     every = written(steps(g.facts))
-    front = spark.range(1).select(names[0].alias("node"), F.array().cast("array<bigint>").alias("path"), F.lit(0).cast("long").alias("place"))
+    # a node's place in its layer is its predecessors' places and the step to it, compared from the start
+    step = "array<struct<back:boolean,id:bigint>>"
+    front = spark.range(1).select(names[0].alias("node"), F.array().cast("array<bigint>").alias("path"), F.array().cast(step).alias("place"))
     visited = front.select("node")
     for _ in range(max_hops):
-        hop = front.join(every, front["node"] == every["a"]).select("b", F.array_append("path", F.col("triple_id")).alias("path"), "place", F.col("along"), "triple_id")
+        hop = front.join(every, front["node"] == every["a"]).select("b", F.array_append("path", F.col("triple_id")).alias("path"), F.array_append("place", F.struct((~F.col("along")).alias("back"), F.col("triple_id").alias("id"))).alias("place"))
         hop = hop.join(visited, hop["b"] == visited["node"], "left_anti")
         hop = written(hop)
-        order = [F.col("place"), F.col("along").desc(), F.col("triple_id")]
         found = hop.where(F.col("b") == names[1])
         if found.take(1):
-            return found.orderBy(*order).limit(max_paths).select("path")
-        first = hop.withColumn("n", F.row_number().over(Window.partitionBy("b").orderBy(*order))).where("n = 1")
+            return found.orderBy("place").limit(max_paths).select("path") if max_paths else found.select("path")
+        first = hop.groupBy("b").agg(F.min_by("path", "place").alias("path"), F.min("place").alias("place"))
         if not first.take(1):
             break
-        # a node's place only has to order the frontier: its predecessor's place, then the step
-        front = first.select(F.col("b").alias("node"), "path", (F.col("place") * 1_000_003 + F.when(F.col("along"), 0).otherwise(500_000) + F.col("triple_id") % 500_000).alias("place"))
+        front = written(first.select(F.col("b").alias("node"), "path", "place"))
         visited = visited.union(front.select("node"))
     return spark.createDataFrame([], "path array<bigint>")
 

@@ -1,8 +1,8 @@
 """Rules as plan builders, and their stratified fixpoint.
 
 A rule maps the current graph to candidates: subject, relation, object, inputs. All rules of a stratum are one
-union; a round is one plan (candidates, confidence and interval of their inputs, first candidate of each fact, anti
-join with what is known), written to the shared folder so that lineage does not grow.
+union; a round is one plan (candidates with an input of the round before, confidence and interval of their inputs,
+first candidate of each fact, anti join with what is known), written to the shared folder so that lineage does not grow.
 """
 
 from __future__ import annotations
@@ -10,13 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import confidence as conf
 from factloom.functions import temporal
 from factloom.plans.storage import written
-from factloom.schema import DERIVED, Graph, canonical
+from factloom.schema import DERIVED, Graph, canonical, numbered
 
 INPUT = "struct<id:bigint,confidence:double,valid_from:string,valid_to:string>"
 CANDIDATE = ["subject", "relation", "object", "inputs"]
@@ -33,6 +33,8 @@ class Rule:
     stratum: int = 0
     #: Relations it reads; a rule none of whose relations exist is not planned. Empty: always planned.
     reads: tuple[str, ...] = field(default=())
+    #: The candidates with an input among the facts of the round before, from the graph and those; None: plan all anew.
+    delta: Callable[[Graph, DataFrame], DataFrame] | None = None
 
 
 def as_input(prefix: str = "") -> Column:
@@ -46,15 +48,15 @@ def side(facts: DataFrame, prefix: str) -> DataFrame:
 def compose(name: str, first: str, second: str, out: str, guard: bool = True, cite_both: bool = True, stratum: int = 0) -> Rule:
     """x first y, y second z: x out z, the middle by its canonical name; guard: not back to x itself."""
 
-    def plan(g: Graph) -> DataFrame:
-        a = canonical(side(g.facts.where(F.col("relation") == first), "a_"), "a_object", g.alias, "a_middle")
-        b = side(g.facts.where(F.col("relation") == second), "b_")
+    def pairs(g: Graph, left: DataFrame, right: DataFrame) -> DataFrame:
+        a = canonical(side(left.where(F.col("relation") == first), "a_"), "a_object", g.alias, "a_middle")
+        b = side(right.where(F.col("relation") == second), "b_")
         both = a.join(b, F.col("a_middle") == F.col("b_subject"))
         both = both.where(F.col("b_object") != F.col("a_subject")) if guard else both
         cited = F.array(as_input("a_"), as_input("b_")) if cite_both else F.array(as_input("a_"))
         return both.select(F.col("a_subject").alias("subject"), F.lit(out).alias("relation"), F.col("b_object").alias("object"), cited.alias("inputs"))
 
-    return Rule(name, plan, stratum, (first,))
+    return Rule(name, lambda g: pairs(g, g.facts, g.facts), stratum, (first,), lambda g, fresh: pairs(g, fresh, g.facts).unionByName(pairs(g, g.facts, fresh)))
 
 
 def transitive(prop: str, guard: bool = True, cite_both: bool = True, name: str | None = None) -> Rule:
@@ -71,7 +73,7 @@ def relabel(name: str, relations: list[str], out: str, swap: bool = False, skip_
         s, o = ("object", "subject") if swap else ("subject", "object")
         return f.select(F.col(s).alias("subject"), F.lit(out).alias("relation"), (F.lit(to) if to is not None else F.col(o)).alias("object"), F.array(as_input()).alias("inputs"))
 
-    return Rule(name, plan, stratum, tuple(relations))
+    return Rule(name, plan, stratum, tuple(relations), lambda g, fresh: plan(g.over(fresh)))
 
 
 def disjunctive(name: str, relations: list[str], out: str, stratum: int = 0) -> Rule:
@@ -163,10 +165,11 @@ def standard_rules() -> list[Rule]:
     ]
 
 
-def candidates(g: Graph, rules: list[Rule], mode: str | Callable, with_time: bool, with_confidence: bool) -> DataFrame:
+def candidates(g: Graph, rules: list[Rule], mode: str | Callable, with_time: bool, with_confidence: bool, fresh: DataFrame | None = None) -> DataFrame:
+    """All rules' candidates, of rules that can tell only those with an input among the fresh facts, if any are given."""
     out = None
     for n, rule in enumerate(rules):
-        c = rule.plan(g).select(*CANDIDATE[:3], F.col("inputs").cast(f"array<{INPUT}>").alias("inputs"), F.lit(n).alias("place"), F.lit(rule.name).alias("rule_name"))
+        c = (rule.plan(g) if fresh is None or rule.delta is None else rule.delta(g, fresh)).select(*CANDIDATE[:3], F.col("inputs").cast(f"array<{INPUT}>").alias("inputs"), F.lit(n).alias("place"), F.lit(rule.name).alias("rule_name"))
         out = c if out is None else out.unionByName(c)
     low, high, empty = temporal.intersection(F.transform("inputs", lambda i: i["valid_from"]), F.transform("inputs", lambda i: i["valid_to"]))
     none = F.lit(None).cast("string")
@@ -186,19 +189,19 @@ def fixpoint(g: Graph, rules: list[Rule] | None = None, max_iter: int = 20, conf
     rules = standard_rules() if rules is None else rules
     facts, proofs, stats = written(g.facts), [], {"per_stratum": {}, "total_iters": 0}
     for stratum in sorted({r.stratum for r in rules}):
-        mine, made = [r for r in rules if r.stratum == stratum], []
+        mine, made, last = [r for r in rules if r.stratum == stratum], [], None
         while mine:
             known = {r[0] for r in facts.select("relation").distinct().collect()}  # as many as there are relations
             live = [r for r in mine if not r.reads or known & set(r.reads)]
             if not live:
                 break
-            new = candidates(g.over(facts), live, confidence_mode, propagate_temporal, propagate_confidence)
+            # a fact that is new has an input that was new; what rests on older facts alone was made before
+            new = candidates(g.over(facts), live, confidence_mode, propagate_temporal, propagate_confidence, last)
             key = ["subject", "relation", "object"]
             first = new.groupBy(*key).agg(F.min_by(F.struct("rule_name", "place", "ids", "confidence", "valid_from", "valid_to"), F.struct("place", "ids")).alias("c"))
             first = first.join(facts.select(*key), key, "left_anti").select(*key, "c.*")
             top = facts.agg(F.max("triple_id")).first()[0]
-            order = F.row_number().over(Window.orderBy("place", "ids", *key)) + F.lit(-1 if top is None else top)
-            fresh = written(first.withColumn("triple_id", order.cast("long")))
+            fresh = written(numbered(first, "place", "ids", *key, start=0 if top is None else top + 1))
             n = fresh.count()
             stats["total_iters"] += n > 0
             if not n:
@@ -207,7 +210,8 @@ def fixpoint(g: Graph, rules: list[Rule] | None = None, max_iter: int = 20, conf
             if len(made) >= max_iter:
                 raise FixpointDivergence(f"stratum {stratum} did not converge in {max_iter} rounds")
             shaped = fresh.select("triple_id", *key, F.lit(DERIVED).alias("source_article"), F.lit(-1).alias("source_sentence_idx"), "valid_from", "valid_to", "confidence", F.lit(None).cast("string").alias("scope"), F.lit(None).cast("int").alias("seq"))
-            facts = facts.unionByName(shaped.select(*facts.columns))
+            last = shaped.select(*facts.columns)
+            facts = facts.unionByName(last)
             proofs.append(fresh.select("triple_id", *key, "rule_name", F.col("ids").alias("inputs")))
         stats["per_stratum"][stratum] = made
     derivations = None
@@ -247,5 +251,5 @@ def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         fresh = written(left.union(right).distinct().join(every, ["a", "b"], "left_anti"))
         if not fresh.take(1):
             return every
-        every = written(every.union(fresh))
+        every = every.union(fresh)  # tables of one round each, none written again
     raise FixpointDivergence(f"closure did not converge in {max_rounds} rounds")

@@ -9,6 +9,7 @@ from factloom.functions import confidence as conf
 from factloom.functions import temporal, text
 from factloom.operators import conflict, ontology, query, rules
 from factloom.plans.program import run_program
+from factloom.plans.storage import written
 from factloom.schema import Graph, complete
 from factloom.sources.graphs import relational
 
@@ -157,8 +158,10 @@ SELECT l_orderkey, l_linenumber, CASE WHEN xf = yf AND xt = yt THEN 'equal' WHEN
  WHEN xf < yf AND yf <= xt AND xt < yt THEN 'overlaps' WHEN yf < xf AND xf <= yt AND yt < xt THEN 'overlapped_by' END AS relation FROM x""")
 def allen_relation(spark, sf_dir):
     x = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    o = lambda c, d: temporal.date_ord(F.date_format(F.date_add(c, d), "yyyy-MM-dd"))
-    return x.select("l_orderkey", "l_linenumber", temporal.relation(o("o_orderdate", 0), o("o_orderdate", 30), o("l_shipdate", 0), o("l_shipdate", 10)).alias("relation"))
+    o = lambda c, d: temporal.ord_of_date(F.date_add(c, d))
+    # ordinals are a step of their own: the relation names each many times
+    x = x.select("l_orderkey", "l_linenumber", o("o_orderdate", 0).alias("xf"), o("o_orderdate", 30).alias("xt"), o("l_shipdate", 0).alias("yf"), o("l_shipdate", 10).alias("yt"))
+    return x.select("l_orderkey", "l_linenumber", temporal.relation(*map(F.col, ("xf", "xt", "yf", "yt"))).alias("relation"))
 
 
 @query_of(f"WITH {SHIP} SELECT id FROM ship WHERE 1995 * 384 + 5 * 32 + 16 BETWEEN f AND t")
@@ -167,9 +170,9 @@ def valid_at(spark, sf_dir):
     return shipments(spark, sf_dir).where(temporal.valid_at(low, high, temporal.date_ord(F.lit("1995-06-17")))).select(F.col("triple_id").alias("id"))
 
 
-@query_of("WITH p AS (SELECT c_nationkey AS key, o_orderkey AS id, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS day FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority LIKE '1%') SELECT a.key, a.id AS a, b.id AS b, b.day - a.day AS gap FROM p a JOIN p b ON a.key = b.key AND b.day - a.day BETWEEN 0 AND 2 AND (b.day > a.day OR b.id > a.id)")
+@query_of("WITH p AS (SELECT c_nationkey AS key, o_orderkey AS id, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS day FROM orders JOIN customer ON o_custkey = c_custkey) SELECT a.key, a.id AS a, b.id AS b, b.day - a.day AS gap FROM p a JOIN p b ON a.key = b.key AND b.day - a.day BETWEEN 0 AND 2 AND (b.day > a.day OR b.id > a.id)")
 def contemporaries_band(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").where(F.col("o_orderpriority").startswith("1")).join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return query.band_pairs(o.select(F.col("c_nationkey").alias("key"), F.col("o_orderkey").alias("id"), F.unix_date(F.col("o_orderdate").cast("date")).cast("long").alias("at")), 2)
 
 
@@ -245,7 +248,7 @@ def functional_conflicts(spark, sf_dir):
 
 def clashes(spark, sf_dir) -> DataFrame:
     f = shipments(spark, sf_dir)
-    m = ontology.functional_markers(Graph(f), "SUPPLIED_BY").select("subject", "relation", "object").distinct()
+    m = written(ontology.functional_markers(Graph(f), "SUPPLIED_BY").select("subject", "relation", "object").distinct())
     marked = complete(m.withColumn("triple_id", -F.abs(F.xxhash64("subject", "object")) - 1))
     return conflict.detect_conflicts(Graph(f.unionByName(marked))).withColumn("conflict", F.concat_ws("/", "subject", "detail"))
 

@@ -14,6 +14,8 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='factloom-')}"
         spark.sparkContext.setCheckpointDir(folder)
     path = os.path.join(folder, f"facts-{uuid.uuid4().hex}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FACT = "subject string, relation string, object string, source_article string, source_sentence_idx int, valid_from string, valid_to string, confidence double, scope string, seq int"
@@ -38,11 +38,13 @@ def complete(df: DataFrame) -> DataFrame:
     ))
 
 
-def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
-    """df with triple_id by the given order; without one, as the rows come (a plan of one partition keeps that)."""
-    if not order:
-        return df.withColumn("triple_id", F.monotonically_increasing_id())
-    return df.withColumn("triple_id", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
+def numbered(df: DataFrame, *order: Column | str, start: int = 0) -> DataFrame:
+    """df with triple_id, from start on and with gaps, by the given order; without one, as the rows come.
+
+    The order is a sort over all tasks, each of which numbers its own rows.
+    """
+    df = df.orderBy(*order) if order else df
+    return df.withColumn("triple_id", F.monotonically_increasing_id() + F.lit(start))
 
 
 def graph(spark: SparkSession, rows: list[tuple] | list[dict], aliases: dict[str, str] | None = None, authorities: dict[str, float] | None = None) -> Graph:

@@ -9,26 +9,49 @@ from factloom.schema import COLUMNS, FACT, Graph, complete
 
 
 def read_json(spark: SparkSession, path: str) -> Graph:
-    """A JSON document of triples, alias_map, source_authority and n_articles; unknown keys are ignored."""
-    schema = f"n_articles int, alias_map map<string,string>, source_authority map<string,double>, triples array<struct<{', '.join(c.replace(' ', ':', 1) for c in FACT.split(', ')).replace(', ', ',')}>>"
+    """JSON documents of triples, alias_map, source_authority and n_articles, one a file; unknown keys are ignored.
+
+    Triples without a triple_id are numbered as they stand in their document.
+    """
+    fields = ",".join(c.replace(" ", ":", 1) for c in ("triple_id long, " + FACT).split(", "))
+    schema = f"n_articles int, alias_map map<string,string>, source_authority map<string,double>, triples array<struct<{fields}>>"
     doc = spark.read.schema(schema).option("multiLine", True).json(path)
-    facts = complete(doc.select(F.posexplode("triples").alias("triple_id", "t")).select("triple_id", "t.*"))
-    n = doc.select("n_articles").head()
-    return Graph(facts, doc.select(F.explode("alias_map").alias("surface", "canonical")), doc.select(F.explode("source_authority").alias("source", "score")), (n[0] if n else 0) or 0)
+    told = doc.select(F.posexplode("triples").alias("place", "t")).select(F.coalesce("t.triple_id", "place").alias("id"), "t.*").drop("triple_id")
+    facts = complete(told.withColumnRenamed("id", "triple_id"))
+    n = doc.agg(F.max("n_articles")).head()[0]
+    return Graph(facts, doc.select(F.explode("alias_map").alias("surface", "canonical")), doc.select(F.explode("source_authority").alias("source", "score")), n or 0)
 
 
 def write_json(g: Graph, path: str, core_only: bool = False) -> None:
-    """One JSON object a fact, with all its fields or its first five."""
-    g.facts.select(*(COLUMNS[:5] if core_only else COLUMNS)).write.mode("overwrite").json(path)
+    """Documents that `read_json` reads: each file holds some thousand facts, aliases or authorities.
+
+    core_only: the first five fields of the facts alone, with their ids.
+    """
+    named = COLUMNS[:5] if core_only else COLUMNS
+    pieces = lambda df, key: df.withColumn("_piece", F.pmod(F.xxhash64(*key), F.lit(max(1, df.count() // 20_000)))).groupBy("_piece")
+    out = g.spark.range(1).select(F.lit(g.n_articles).alias("n_articles"))
+    facts = g.facts.select("triple_id", *named)
+    out = out.unionByName(pieces(facts, ["triple_id"]).agg(F.array_sort(F.collect_list(F.struct(*facts.columns))).alias("triples")).drop("_piece"), allowMissingColumns=True)
+    if g.alias is not None:
+        entries = F.map_from_entries(F.collect_list(F.struct("surface", "canonical")))
+        out = out.unionByName(pieces(g.alias.dropDuplicates(["surface"]), ["surface"]).agg(entries.alias("alias_map")).drop("_piece"), allowMissingColumns=True)
+    if g.authority is not None:
+        entries = F.map_from_entries(F.collect_list(F.struct("source", "score")))
+        out = out.unionByName(pieces(g.authority.dropDuplicates(["source"]), ["source"]).agg(entries.alias("source_authority")).drop("_piece"), allowMissingColumns=True)
+    out.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def write_parquet(g: Graph, path: str) -> None:
-    """Facts by relation, so that a scan of one reads one."""
-    g.facts.write.mode("overwrite").partitionBy("relation").parquet(path)
+    """Facts by relation, so that a scan of one reads one; aliases, authorities and the number of articles beside them."""
+    g.facts.write.mode("overwrite").partitionBy("relation").parquet(f"{path}/facts")
+    (g.alias if g.alias is not None else g.spark.createDataFrame([], "surface string, canonical string")).write.mode("overwrite").parquet(f"{path}/alias")
+    (g.authority if g.authority is not None else g.spark.createDataFrame([], "source string, score double")).write.mode("overwrite").parquet(f"{path}/authority")
+    g.spark.range(1).select(F.lit(g.n_articles).alias("n_articles")).write.mode("overwrite").parquet(f"{path}/about")
 
 
 def read_parquet(spark: SparkSession, path: str) -> Graph:
-    return Graph(complete(spark.read.parquet(path)))
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    return Graph(complete(read("facts")), read("alias"), read("authority"), read("about").head()[0])
 
 
 def read_articles(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:

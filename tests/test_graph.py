@@ -1,10 +1,11 @@
+import math
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import confidence, temporal, text
 from factloom.operators import conflict, query, rules
 from factloom.operators.ontology import Ontology, compile_to_rules
-from factloom.plans.program import ExecError, run_program, validate
+from factloom.plans.program import ExecError, call_value, execute, run_program, score_flags, surface, triples_of, validate
 from factloom.schema import graph
 
 
@@ -148,6 +149,80 @@ def test_programs(spark):
         validate([("LAUNCH", "")])
 
 
+def test_dispatch_shares_the_stack_and_jumps_go_to_addresses(spark):
+    below = {"main": [("PUSH", "1"), ("LOAD", "k"), ("DISPATCH", "0:fifty,1:two"), ("ADD", "")], "fifty": [("POP", ""), ("PUSH", "50"), ("PUSH", "1")], "two": [("PUSH", "2")]}
+    assert [value(spark, below, {"k": k}) for k in (0.0, 1.0)] == [51, 3]
+    gapped = {"main": [("PUSH", "7", 10), ("JMP", "40", 20), ("PUSH", "1", 30), ("RET", "", 40)]}
+    assert value(spark, gapped) == 7
+    for bad in ("15", "x"):
+        with pytest.raises(ExecError):
+            value(spark, {"main": [("PUSH", "7", 10), ("JMP", bad, 20), ("RET", "", 40)]})
+
+
+def test_branches_meet_again(spark):
+    # a sum of forty digits by forty forward branches: one expression, each step once
+    code = [("PUSH", "0"), ("STORE", "s")]
+    for k in range(40):
+        at = len(code)
+        code += [("LOAD", "x"), ("PUSH", str(k)), ("GT", ""), ("JZ", str(at + 8)), ("LOAD", "s"), ("PUSH", "1"), ("ADD", ""), ("STORE", "s")]
+    code += [("LOAD", "s"), ("RET", "")]
+    assert value(spark, {"main": code}, {"x": 7.5}) == 8
+    early = [("LOAD", "x"), ("JZ", "4"), ("PUSH", "1"), ("RET", ""), ("PUSH", "2"), ("EMIT", ""), ("RET", "")]
+    df = spark.createDataFrame([(0.0,), (3.0,)], "x double")
+    rows = run_program(df, {"main": early}, "main", ["x"], emits="e").orderBy("x").collect()
+    assert [(r["value"], r["e"]) for r in rows] == [(2, [2]), (1, [])]
+
+
+LOOPS = {
+    "down": [("STORE", "n"), ("LOAD", "n"), ("JZ", "9"), ("LOAD", "n"), ("EMIT", ""), ("PUSH", "1"), ("SUB", ""), ("STORE", "n"), ("JMP", "1"), ("PUSH", "0"), ("RET", "")],
+    "even": [("DUP", ""), ("JZ", "6"), ("PUSH", "1"), ("SUB", ""), ("CALL", "odd"), ("RET", ""), ("POP", ""), ("PUSH", "1"), ("RET", "")],
+    "odd": [("DUP", ""), ("JZ", "6"), ("PUSH", "1"), ("SUB", ""), ("CALL", "even"), ("RET", ""), ("RET", "")],
+    "fib": [("STORE", "n"), ("LOAD", "n"), ("PUSH", "2"), ("LT", ""), ("JZ", "7"), ("LOAD", "n"), ("RET", ""), ("LOAD", "n"), ("PUSH", "1"), ("SUB", ""), ("CALL", "fib"), ("LOAD", "n"), ("PUSH", "2"), ("SUB", ""), ("CALL", "fib"), ("ADD", ""), ("RET", "")],
+    "gcd": [("STORE", "b"), ("STORE", "a"), ("LOAD", "b"), ("JZ", "12"), ("LOAD", "b"), ("LOAD", "a"), ("LOAD", "b"), ("MOD", ""), ("STORE", "b"), ("STORE", "a"), ("JMP", "2"), ("RET", ""), ("LOAD", "a"), ("RET", "")],
+    "lcm": [("STORE", "q"), ("STORE", "p"), ("LOAD", "p"), ("LOAD", "q"), ("MUL", ""), ("LOAD", "p"), ("LOAD", "q"), ("CALL", "gcd"), ("DIV", ""), ("RET", "")],
+    "squares": [("STORE", "n"), ("LOAD", "n"), ("MAP", "square"), ("POP", ""), ("LOAD", "n"), ("CALL", "down"), ("RET", "")],
+    "square": [("LOAD", "i"), ("LOAD", "i"), ("MUL", "")],
+    "forever": [("PUSH", "1"), ("JMP", "0")],
+    "deep": [("CALL", "deep"), ("RET", "")],
+}
+
+
+def test_loops_and_recursion_over_batches(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(12)], "n double")
+    run = lambda name: [tuple(r) for r in call_value(df, LOOPS, name, ["n"], emits="e").orderBy("n").select("value", "e").collect()]
+    assert run("down") == [(0, [float(x) for x in range(i, 0, -1)]) for i in range(12)]
+    assert [v for v, _ in run("even")] == [float(i % 2 == 0) for i in range(12)]
+    fib = [0, 1]
+    while len(fib) < 12:
+        fib.append(fib[-1] + fib[-2])
+    assert [v for v, _ in run("fib")] == fib
+    assert [e for _, e in run("squares")] == [[float(k * k) for k in range(i)] + [float(x) for x in range(i, 0, -1)] for i in range(12)]
+    pairs = spark.createDataFrame([(float(a), float(b)) for a in range(1, 9) for b in range(1, 9)], "a double, b double")
+    assert all(r["value"] == math.lcm(int(r["a"]), int(r["b"])) for r in call_value(pairs, LOOPS, "lcm", ["a", "b"]).collect())
+    for name in ("forever", "deep"):
+        with pytest.raises(Exception, match="too many steps|calls too deep"):
+            run_program(df, LOOPS, name, []).collect()
+
+
+def test_a_run_tells_its_provenance(spark):
+    steps = [("FETCH", "@who|BALANCE"), ("FETCH", "rate|VALUE"), ("MUL", ""), ("OPAQUE", "model"), ("ADD", ""), ("EMIT", ""), ("RET", "")]
+    g = graph(spark, [{"subject": "ann", "relation": "BALANCE", "object": "200", "source_article": "bank"}, {"subject": "rate", "relation": "VALUE", "object": "0.5", "source_article": "policy"}, *triples_of("main", steps)])
+    out = execute(g.facts, "main", {"who": "ann"}, {"model": 1})
+    assert (out.value, out.steps, out.outputs) == (101, 7, [101]) and out.reads == ["ann BALANCE 200 [bank]", "rate VALUE 0.5 [policy]"]
+    assert out.opaque == ["model = 1.0 [OPAQUE, unverified]"] and out.trace[2] == "@2: MUL   stack=[100.0]   [program]" and len(out.trace) == 7
+    for bad in ({"who": "bob"}, {"who": "ann"}):
+        with pytest.raises(ExecError):
+            execute(g.facts, "main", bad, None)
+    assert surface({"main": steps}, "OPAQUE") == ["model"]
+
+
+def test_score_flags_joins_rings(spark):
+    rows = [(f"t{i}", r, str(v)) for i, (a, f) in enumerate([(900, 1), (20, 0), (700, 0)]) for r, v in (("AMOUNT", a), ("FOREIGN", f))]
+    g = graph(spark, [*rows, ("policy", "LARGE", "500")])
+    code = [("LOAD", "amount"), ("FETCH", "policy|LARGE"), ("GT", ""), ("LOAD", "foreign"), ("AND", ""), ("RET", "")]
+    assert [r[0] for r in score_flags(g.facts, {"score": code}, "score", {"amount": "AMOUNT", "foreign": "FOREIGN"}).collect()] == ["t0"]
+
+
 def test_program_reads_facts(spark):
     g = graph(spark, [("alice", "BALANCE", "70"), ("bob", "BALANCE", "-10"), ("rate", "VALUE", "2")])
     df = spark.createDataFrame([("alice",), ("bob",)], "who string")
@@ -185,3 +260,30 @@ def test_utterances_score_by_theme_mood_and_freshness(spark):
     words = lambda *w: F.array(*map(F.lit, w)).cast("array<string>")
     s = text.score_utterance(F.col("text"), F.col("themes"), F.col("mood"), words("sea", "fate"), words("weary"), words("y" * 900))
     assert [r[0] for r in u.select(s).collect()] == [8.0, -95.0]
+
+
+def test_long_paths_keep_their_order(spark):
+    g = graph(spark, [(f"n{i}", "NEXT", f"n{i + 1}") for i in range(9)] + [("n2", "ALSO", "n3"), ("n8", "ALSO", "n9")])
+    far = query.find_paths(g, "n0", "n9", max_hops=9)
+    assert [r[0] for r in far.collect()] == [[*range(9)], [*range(8), 10]]
+    assert query.find_paths(g, "n0", "n9", max_hops=8).count() == 0
+    wide = graph(spark, [("a", "R", "m1"), ("a", "R", "m2"), ("m2", "R", "z"), ("m1", "R", "z"), ("z", "R", "m1")])
+    assert [r[0] for r in query.find_paths(wide, "a", "z").collect()] == [[0, 3], [0, 4], [1, 2]]
+
+
+def test_graphs_come_back_from_files(spark, tmp_path):
+    from factloom.sources.graphs import read_json, read_parquet, write_json, write_parquet
+
+    g = graph(spark, [{"subject": "a", "relation": "R", "object": "b", "confidence": 0.5, "scope": "x", "seq": 3, "valid_from": "50 AD", "source_sentence_idx": 0}, ("c", "S", 'q"uote', "d", 7)], {"A": "a", "B": "b"}, {"src": 0.7})
+    g = type(g)(g.facts, g.alias, g.authority, 12)
+    for name, write, read in (("j", write_json, read_json), ("p", write_parquet, read_parquet)):
+        write(g, f"{tmp_path}/{name}")
+        back = read(spark, f"{tmp_path}/{name}")
+        for one, other in ((back.facts.select(g.facts.columns), g.facts), (back.alias, g.alias), (back.authority, g.authority)):
+            assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, other.collect()), key=str)
+        assert back.n_articles == 12
+    write_json(g, f"{tmp_path}/core", core_only=True)
+    assert spo(read_json(spark, f"{tmp_path}/core").facts) == spo(g.facts)
+    (tmp_path / "one.json").write_text('{"n_articles": 2, "alias_map": {"x": "y"},\n "triples": [{"subject": "s", "relation": "r", "object": "o", "source_article": "a", "source_sentence_idx": 4, "other": 1}]}')
+    one = read_json(spark, f"{tmp_path}/one.json")
+    assert one.facts.select("triple_id", "subject", "source_sentence_idx", "confidence").collect() == [(0, "s", 4, 1.0)] and one.n_articles == 2
