@@ -168,3 +168,34 @@ def score_utterance(text: Column, themes: Column, mood: Column, asked: Column, w
     """How well an utterance fits the themes asked and moods wanted; one that was used before falls behind all."""
     fits = 3.0 * F.size(F.array_intersect(themes, asked)) + F.when(F.array_contains(wanted, mood), 1.5).otherwise(0.0)
     return fits - F.when(F.array_contains(used, text), 100.0).otherwise(0.0) + F.least(F.lit(2.0), F.length(text) / 200)
+
+
+def best_utterances(questions: DataFrame, catalogue: list[dict], themes: dict[str, list[str]], column: str = "question", used: Column | None = None) -> DataFrame:
+    """questions with ``answer``: the text of a small catalogue (text, themes, mood) that fits best, null if none is over 0."""
+    q, none = F.col(column), F.array().cast("array<string>")
+    ready = questions.withColumns({"_asked": told(q, themes), "_wanted": moods(q)})
+    score = lambda u: score_utterance(F.lit(u["text"]), F.array(*map(F.lit, u["themes"])).cast("array<string>"), F.lit(u["mood"]), F.col("_asked"), F.col("_wanted"), used if used is not None else none)
+    scored = F.array(*(F.struct(score(u).alias("score"), F.lit(-n).alias("place"), F.lit(u["text"]).alias("text")) for n, u in enumerate(catalogue)))
+    top = F.array_max(scored)
+    return ready.withColumn("answer", F.when(top["score"] > 0, top["text"])).drop("_asked", "_wanted")
+
+
+def respond(answer: Column, fallback: str) -> Column:
+    """The answer, or a set text where there is none; ``%s`` in it stands for nothing."""
+    return F.coalesce(answer, F.lit(fallback))
+
+
+def wrapped(text: str, width: int = 72, indent: str = "", later: str | None = None) -> str:
+    """Text in lines of a width, the first and the later ones indented."""
+    import textwrap
+
+    return textwrap.fill(text, width, initial_indent=indent, subsequent_indent=indent if later is None else later)
+
+
+def format_answer(item: dict, score: float, width: int = 72) -> str:
+    """An item of a catalogue as text: what it is about, its commands, what it explains and warns of."""
+    parts = [f"{item['item_id']}  (score {score:.1f})"]
+    parts += [f"  $ {c}" for c in item.get("commands") or []]
+    parts += [wrapped(item["explanation"], width, "  ")] if item.get("explanation") else []
+    parts += [wrapped(c, width, "  ! ", "    ") for c in item.get("cautions") or []]
+    return "\n".join([*parts, *([f"  see also: {', '.join(item['related_items'])}"] if item.get("related_items") else [])])

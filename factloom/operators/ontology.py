@@ -109,6 +109,14 @@ class Ontology:
         self.expressions.append(("some", name, (p, c)))
         return self
 
+    def class_complement(self, name: str, c: str) -> Ontology:
+        self.expressions.append(("complement", name, (c,)))
+        return self
+
+    def all_values(self, name: str, p: str, c: str) -> Ontology:
+        self.expressions.append(("all", name, (p, c)))
+        return self
+
     def summary(self) -> str:
         return f"{self.name}: {len(self.classes)} classes, {len(self.properties)} properties, {len(compile_to_rules(self))} rules"
 
@@ -174,10 +182,16 @@ def cardinality_violations(facts: DataFrame, ont: Ontology) -> DataFrame:
 
 
 def memberships(facts: DataFrame, ont: Ontology) -> DataFrame:
-    """subject, class that intersections, unions and existential restrictions add to what IS_A says."""
+    """subject, class that intersections, unions and existential restrictions add to what IS_A says.
+
+    Complements and universal restrictions add no member, since what is not said may still hold; they are checked
+    by `inconsistencies`.
+    """
     is_a = facts.where(F.col("relation") == "IS_A").select("subject", F.col("object").alias("class")).distinct()
     out = None
     for kind, name, parts in ont.expressions:
+        if kind in ("complement", "all"):
+            continue
         if kind == "some":
             p, c = parts
             of = is_a.where(F.col("class") == c).select(F.col("subject").alias("object"))
@@ -188,3 +202,68 @@ def memberships(facts: DataFrame, ont: Ontology) -> DataFrame:
         found = found.withColumn("class", F.lit(name))
         out = found if out is None else out.union(found)
     return out.distinct().join(is_a, ["subject", "class"], "left_anti") if out is not None else is_a.limit(0)
+
+
+def inconsistencies(facts: DataFrame, ont: Ontology) -> DataFrame:
+    """subject, why: members of two disjoint classes, of a class and its complement, with a value outside a universal
+    restriction's class (one disjoint with it), or with more values than a cardinality allows. Names are unique."""
+    spark = facts.sparkSession
+    is_a = facts.where(F.col("relation") == "IS_A").select("subject", F.col("object").alias("class")).distinct()
+    apart = [*ont.disjoint, *((name, parts[0]) for kind, name, parts in ont.expressions if kind == "complement")]
+    of = lambda c: is_a.where(F.col("class") == c).select("subject")
+    out = [of(c).join(of(d), "subject", "left_semi").withColumn("why", F.lit(f"disjoint:{c}|{d}")) for c, d in apart]
+    for kind, name, parts in ont.expressions:
+        if kind == "all":
+            p, c = parts
+            outside = [d if c == e else e for e, d in [*apart, *((b, a) for a, b in apart)] if c in (e, d)]
+            wrong = is_a.where(F.col("class").isin(sorted(set(outside)))).select(F.col("subject").alias("object"))
+            bad = facts.where(F.col("relation") == p).join(wrong, "object", "left_semi").select("subject")
+            out.append(bad.join(of(name), "subject", "left_semi").withColumn("why", F.lit(f"all:{p}|{c}")))
+    more = cardinality_violations(facts, ont)
+    highs = [(p, high) for p, _, high, _ in ont.cardinalities if high is not None]
+    for p, high in highs:
+        out.append(more.where((F.col("property") == p) & (F.col("n") > high)).select("subject", F.lit(f"cardinality:{p}").alias("why")))
+    every = spark.createDataFrame([], "subject string, why string")
+    for x in out:
+        every = every.unionByName(x)
+    return every.distinct()
+
+
+def enrich(g: Graph, ont: Ontology, max_rounds: int = 20) -> tuple[Graph, dict]:
+    """The graph with memberships by class expressions and subclasses, source `(owl)`, and what was found.
+
+    An inconsistent graph gains one marker (the ontology, CONTRADICTION_DETECTED, OWL_INCONSISTENT) and nothing else.
+    """
+    from factloom.operators.rules import fixpoint
+    from factloom.plans.storage import written
+    from factloom.schema import complete, numbered
+
+    axioms = Ontology(ont.name)
+    axioms.sub_classes, axioms.equal_classes, axioms.domains, axioms.ranges = ont.sub_classes, ont.equal_classes, ont.domains, ont.ranges
+    facts = written(g.facts)
+    known = facts.where("relation = 'IS_A'").select("subject", "object").distinct()
+    here = g.over(facts)
+    for _ in range(max_rounds):
+        here, _, _ = fixpoint(here, compile_to_rules(axioms))
+        more = written(memberships(here.facts, ont).select("subject", F.lit("IS_A").alias("relation"), F.col("class").alias("object")))
+        if not more.take(1):
+            break
+        top = here.facts.agg(F.max("triple_id")).head()[0]
+        here = here.over(here.facts.unionByName(complete(numbered(more, "subject", "object", start=(top or 0) + 1)).select(*here.facts.columns)))
+    wrong = inconsistencies(here.facts, ont)
+    top = facts.agg(F.max("triple_id")).head()[0] or 0
+    if wrong.take(1):
+        marker = g.spark.createDataFrame([(top + 1, ont.name, DISJOINT, "OWL_INCONSISTENT", "(owl)")], "triple_id long, subject string, relation string, object string, source_article string")
+        return g.over(facts.unionByName(complete(marker).select(*facts.columns))), {"consistent": False, "n_inferred": 0, "why": [tuple(r) for r in wrong.limit(20).collect()]}
+    new = here.facts.where("relation = 'IS_A' AND object <> 'Thing'").select("subject", "relation", "object").distinct().join(known, ["subject", "object"], "left_anti")
+    new = written(complete(numbered(new.withColumn("source_article", F.lit("(owl)")), "subject", "object", start=top + 1)))
+    return g.over(facts.unionByName(new.select(*facts.columns))), {"consistent": True, "n_inferred": new.count(), "why": []}
+
+
+def enrich_rule(ont: Ontology, stratum: int = 5) -> Rule:
+    """`enrich` as a rule of a late stratum; a graph it cannot read adds nothing."""
+
+    def plan(g: Graph) -> DataFrame:
+        return memberships(g.facts, ont).select("subject", F.lit("IS_A").alias("relation"), F.col("class").alias("object"), F.array().alias("inputs"))
+
+    return Rule(f"owl:classExpressions({ont.name})", plan, stratum)

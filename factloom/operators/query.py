@@ -159,3 +159,50 @@ def first_fact(facts: DataFrame, relation: str) -> DataFrame:
 
 def named(g: Graph, column: str, out: str) -> DataFrame:
     return canonical(g.facts, column, g.alias, out)
+
+
+def of_relation(facts: DataFrame, relation: str) -> DataFrame:
+    return facts.where(F.col("relation") == relation).orderBy("triple_id")
+
+
+def has(g: Graph, entity: str, relation: str) -> bool:
+    """Whether the entity, by its canonical name, is the subject of a fact of the relation."""
+    return bool(g.facts.where((F.col("subject") == canonicalize(g, entity)) & (F.col("relation") == relation)).take(1))
+
+
+def scoped_values(facts: DataFrame, scope: str, relation: str) -> DataFrame:
+    """subject, object of a scope's own facts of a relation, without global ones."""
+    return facts.where((F.col("scope") == scope) & (F.col("relation") == relation)).select("subject", "object")
+
+
+def born_between(facts: DataFrame, low: int, high: int, bc: bool = False, relation: str = "BORN_DATE", k: int | None = None) -> DataFrame:
+    """subject, object of births in years low to high, both included; the k first subjects as they came, if k is given.
+
+    BC: years of `N BC` as they are counted there; else the digits that a date begins with.
+    """
+    pattern = r"^(\d+)\s*BC" if bc else r"^(\d+)"
+    year = F.regexp_extract("object", pattern, 1)
+    hit = facts.where(F.col("relation") == relation).where(F.when(year != "", year.cast("long")).between(low, high))
+    first = hit.groupBy("subject").agg(F.min_by("object", "triple_id").alias("object"), F.min("triple_id").alias("_at"))
+    return (first.orderBy("_at").limit(k) if k else first).drop("_at")
+
+
+def first_distinct(df: DataFrame, column: str, k: int = 10) -> DataFrame:
+    """The k first values of a column in order."""
+    return df.select(column).distinct().orderBy(column).limit(k)
+
+
+def least_sure(facts: DataFrame, k: int = 6) -> DataFrame:
+    return facts.orderBy("confidence", "triple_id").limit(k)
+
+
+def overlap(facts: DataFrame, relation: str, one: str, other: str) -> DataFrame:
+    """subject, side: of two classes of a relation, who is in both, or in one only."""
+    f = facts.where((F.col("relation") == relation) & F.col("object").isin(one, other)).groupBy("subject").agg(F.collect_set("object").alias("c"))
+    return f.select("subject", F.when(F.size("c") == 2, "both").otherwise(F.element_at("c", 1)).alias("side"))
+
+
+def co_occurring(pairs: DataFrame, group: str, item: str) -> DataFrame:
+    """low, high, n: items that share a group, and how many groups they share."""
+    t = pairs.select(F.col(group).alias("k"), F.col(item).alias("x")).distinct()
+    return t.withColumnRenamed("x", "low").join(t.withColumnRenamed("x", "high"), "k").where("low < high").groupBy("low", "high").agg(F.count("*").alias("n"))

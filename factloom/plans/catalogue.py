@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions import confidence as conf
 from factloom.functions import temporal, text
-from factloom.operators import conflict, ontology, query, rules
+from factloom.operators import conflict, eras, ontology, query, reach, rules
+from factloom.plans import program
 from factloom.plans.program import run_program
 from factloom.plans.storage import written
 from factloom.schema import Graph, complete
@@ -213,10 +214,10 @@ def grandparent_two_hop(spark, sf_dir):
 
 @query_of("""WITH {fact}, one AS (SELECT s, r, o FROM fact WHERE r IN ('IN_REGION', 'IN_NATION')),
 two AS (SELECT DISTINCT s, 'LOCATED_IN' AS r, o FROM one), three AS (SELECT * FROM two UNION SELECT a.s, 'LOCATED_IN', b.o FROM two a JOIN two b ON a.o = b.s)
-SELECT s AS subject, r AS relation, o AS object FROM (SELECT s, r, o FROM three UNION SELECT o, 'HAS_PLACE', s FROM three UNION SELECT o, 'IS_A', 'Place' FROM three)""")
+SELECT s AS subject, r AS relation, o AS object FROM (SELECT s, r, o FROM three UNION SELECT o, 'HAS_PLACE', s FROM three UNION SELECT o, 'IS_A', 'Place' FROM three UNION SELECT o, 'IS_A', 'Customer' FROM fact WHERE r = 'PLACED_BY')""")
 def ontology_closure(spark, sf_dir):
-    g = Graph(relational(spark, sf_dir).where(F.col("relation").isin("IN_REGION", "IN_NATION")))
-    ont = ontology.Ontology("places").sub_property_of("IN_REGION", "LOCATED_IN").sub_property_of("IN_NATION", "LOCATED_IN").transitive_property("LOCATED_IN").inverse_properties("LOCATED_IN", "HAS_PLACE").range("LOCATED_IN", "Place")
+    g = Graph(relational(spark, sf_dir))
+    ont = ontology.Ontology("places").sub_property_of("IN_REGION", "LOCATED_IN").sub_property_of("IN_NATION", "LOCATED_IN").transitive_property("LOCATED_IN").inverse_properties("LOCATED_IN", "HAS_PLACE").range("LOCATED_IN", "Place").range("PLACED_BY", "Customer")
     closed, _, _ = rules.fixpoint(g, ontology.compile_to_rules(ont))
     return three(closed.facts).where(F.col("relation").isin("LOCATED_IN", "HAS_PLACE", "IS_A")).distinct()
 
@@ -324,18 +325,13 @@ def some_values_class(spark, sf_dir):
 i AS (SELECT a.y AS a, b.y AS b, count(*) AS k FROM v a JOIN v b ON a.x = b.x AND a.y < b.y GROUP BY 1, 2)
 SELECT CAST(p.y AS INTEGER) AS a, CAST(q.y AS INTEGER) AS b, round(1 - coalesce(k, 0) / (p.n + q.n - coalesce(k, 0)), 6) AS distance FROM n p JOIN n q ON p.y < q.y LEFT JOIN i ON i.a = p.y AND i.b = q.y""")
 def jaccard_eras(spark, sf_dir):
-    v = read(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("y"), F.col("l_suppkey").alias("x")).distinct()
-    n = v.groupBy("y").agg(F.count("*").alias("n"))
-    k = v.withColumnRenamed("y", "a").join(v.withColumnRenamed("y", "b"), "x").where("a < b").groupBy("a", "b").agg(F.count("*").alias("k"))
-    pairs = n.select(F.col("y").alias("a"), F.col("n").alias("na")).join(n.select(F.col("y").alias("b"), F.col("n").alias("nb")), F.col("a") < F.col("b"))
-    shared = F.coalesce("k", F.lit(0))
-    return pairs.join(k, ["a", "b"], "left").select("a", "b", F.round(1 - shared / (F.col("na") + F.col("nb") - shared), 6).alias("distance"))
+    v = read(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("y"), F.col("l_suppkey").alias("x"))
+    return eras.jaccard(v, "y", "x").select("a", "b", F.round("distance", 6).alias("distance"))
 
 
 @query_of("WITH t AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS x FROM lineitem) SELECT a.x AS low, b.x AS high, count(*) AS n FROM t a JOIN t b ON a.k = b.k AND a.x < b.x GROUP BY 1, 2")
 def co_occurrence(spark, sf_dir):
-    t = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("x")).distinct()
-    return t.withColumnRenamed("x", "low").join(t.withColumnRenamed("x", "high"), "l_orderkey").where("low < high").groupBy("low", "high").agg(F.count("*").alias("n"))
+    return query.co_occurring(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey")
 
 
 # Programs
@@ -410,3 +406,183 @@ def _markup_sql() -> str:
 @query_of(_markup_sql())
 def strip_markup(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.md5(text.strip_markup(F.col("html")).cast("binary")).alias("prose_md5"))
+
+
+# Reach, orders and groups
+
+
+def tree(spark, sf_dir) -> DataFrame:
+    """a, b: each part and the part of half its number."""
+    k = F.col("p_partkey")
+    return read(spark, sf_dir, "part").where((k > 1) & (F.floor((k - 1) / 2) > 0)).select(k.alias("a"), F.floor((k - 1) / 2).cast("long").alias("b"))
+
+
+TREE = "e AS (SELECT p_partkey AS a, (p_partkey - 1) // 2 AS b FROM part WHERE p_partkey > 1 AND (p_partkey - 1) // 2 > 0)"
+
+
+@query_of(f"WITH RECURSIVE {TREE}, c AS (SELECT a AS start, b AS node FROM e WHERE a IN (SELECT p_partkey FROM part WHERE p_brand = (SELECT min(p_brand) FROM part)) UNION SELECT c.start, e.b FROM c JOIN e ON c.node = e.a) SELECT start, node FROM c")
+def reach_from(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    return reach.reach(tree(spark, sf_dir), p.where(F.col("p_brand") == p.agg(F.min("p_brand")).head()[0]).select(F.col("p_partkey").alias("start")))
+
+
+@query_of(f"WITH RECURSIVE {TREE}, c AS (SELECT CAST(5 AS BIGINT) AS node, 0 AS hop UNION SELECT e.a, c.hop + 1 FROM c JOIN e ON c.node = e.b) SELECT CAST(hop AS INTEGER) AS hop, count(*) AS n FROM c GROUP BY hop")
+def layers_from(spark, sf_dir):
+    e = tree(spark, sf_dir).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return reach.layers(e, spark.range(5, 6).select(F.col("id").alias("start"))).groupBy("hop").agg(F.count("*").alias("n"))
+
+
+@query_of(f"WITH RECURSIVE {TREE}, h AS (SELECT p_partkey AS a, p_brand AS b FROM part), c AS (SELECT a AS node FROM h WHERE b = (SELECT min(p_brand) FROM part) UNION SELECT e.a FROM c JOIN e ON c.node = e.b) SELECT node FROM c")
+def blast_radius(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    return reach.blast_radius(tree(spark, sf_dir), p.select(F.col("p_partkey").alias("a"), F.col("p_brand").alias("b")), p.agg(F.min("p_brand")).head()[0])
+
+
+@query_of("WITH {fact} SELECT list_transform([a.id, b.id, c.id], lambda x: CAST(x AS BIGINT))::VARCHAR AS path FROM fact a JOIN fact b ON b.s = a.o JOIN fact c ON c.s = b.o WHERE a.s = 'order#32' AND b.r = 'IN_NATION' AND c.r = 'IN_REGION'")
+def find_paths(spark, sf_dir):
+    g = g_of(spark, sf_dir)
+    end = g.facts.where("subject = 'order#32'").select("object").head()
+    nation = g.facts.where(F.col("subject") == end[0]).where("relation = 'IN_NATION'").head()["object"]
+    region = g.facts.where(F.col("subject") == nation).where("relation = 'IN_REGION'").head()["object"]
+    return query.find_paths(g, "order#32", region).select(F.concat(F.lit("["), F.array_join(F.transform("path", lambda x: x.cast("string")), ", "), F.lit("]")).alias("path"))
+
+
+@query_of("SELECT CAST(user_id AS VARCHAR) AS scope, CAST(event_id AS VARCHAR) AS a, CAST(n AS VARCHAR) AS b FROM (SELECT *, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n IS NOT NULL")
+def precedes(spark, sf_dir):
+    e = event_facts(spark, sf_dir)
+    return reach.precedes(e.withColumn("scope", F.col("subject")), relation="DID")
+
+
+@query_of("SELECT a.n_name AS subject, 'NEIGHBOUR_OF' AS relation, b.n_name AS object FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name <> b.n_name")
+def group_pairs(spark, sf_dir):
+    return reach.group_pairs(relational(spark, sf_dir), "IN_REGION", "NEIGHBOUR_OF")
+
+
+@query_of("WITH {fact} SELECT s AS subject, o AS object FROM fact WHERE r = 'IN_NATION' AND s IN (SELECT o FROM fact WHERE r = 'PLACED_BY')")
+def exposed(spark, sf_dir):
+    f = relational(spark, sf_dir)
+    turned = f.where("relation = 'PLACED_BY'").select(F.col("object").alias("subject"), F.lit("PLACED").alias("relation"), F.lit("").alias("object"))
+    return reach.exposed(three(f).unionByName(turned), "PLACED", "IN_NATION")
+
+
+@query_of("SELECT 'order#' || l_orderkey AS subject, CASE WHEN count(DISTINCT l_returnflag) = 2 THEN 'both' ELSE min(l_returnflag) END AS side FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY l_orderkey")
+def class_overlap(spark, sf_dir):
+    l = read(spark, sf_dir, "lineitem")
+    f = l.select(F.concat(F.lit("order#"), F.col("l_orderkey").cast("string")).alias("subject"), F.lit("FLAG").alias("relation"), F.col("l_returnflag").alias("object"))
+    return query.overlap(f, "FLAG", "A", "N")
+
+
+ERAS = [("early", 1992, 1994), ("middle", 1994, 1996), ("late", 1997, 9999)]
+
+
+@query_of(f"WITH {SHIP}, e AS (SELECT * FROM (VALUES {', '.join(map(str, ERAS))}) AS v(era, a, b)) SELECT era, count(*) AS n FROM e JOIN ship ON t >= a * 384 AND f <= b * 384 GROUP BY era")
+def facts_in_eras(spark, sf_dir):
+    e = spark.createDataFrame(ERAS, "name string, from_year int, to_year int")
+    return eras.facts_in_eras(shipments(spark, sf_dir), e).groupBy("era").agg(F.count("*").alias("n"))
+
+
+@query_of(f"WITH {SHIP}, e AS (SELECT * FROM (VALUES {', '.join(map(str, ERAS))}) AS v(era, a, b)), h AS (SELECT DISTINCT era, a, o FROM e JOIN ship ON t >= a * 384 AND f <= b * 384 WHERE s = 'part#7'), n AS (SELECT era, lag(era) OVER (ORDER BY a) AS p FROM e) SELECT n.era, coalesce((SELECT string_agg(o, ',' ORDER BY o) FROM h WHERE h.era = n.era AND o NOT IN (SELECT o FROM h h2 WHERE h2.era = n.p)), '') AS appeared, coalesce((SELECT string_agg(o, ',' ORDER BY o) FROM h WHERE h.era = n.p AND o NOT IN (SELECT o FROM h h2 WHERE h2.era = n.era)), '') AS retired FROM n")
+def era_drift(spark, sf_dir):
+    e = spark.createDataFrame(ERAS, "name string, from_year int, to_year int")
+    shaped = eras.projections(shipments(spark, sf_dir), e, "part#7", ("SUPPLIED_BY",))
+    out = eras.drift(shaped, "supplied_by")
+    return out.select("era", *(F.array_join(F.array_sort(c), ",").alias(c) for c in ("appeared", "retired")))
+
+
+# Standard rules over lives made of orders: born with the first, died with the last
+
+
+def lives(spark, sf_dir) -> Graph:
+    o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(F.year("o_orderdate")).alias("a"), F.max(F.year("o_orderdate")).alias("b"))
+    name = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    born = o.select(F.col("o_custkey").alias("triple_id"), name.alias("subject"), F.lit("BORN_DATE").alias("relation"), F.concat((F.col("a") - 1990 + F.col("o_custkey") * 7 % 2000).cast("string"), F.when(F.col("o_custkey") % 5 == 0, " BC").otherwise(" AD")).alias("object"))
+    died = o.select((F.col("o_custkey") + 10**9).alias("triple_id"), name.alias("subject"), F.lit("DIED_DATE").alias("relation"), F.concat((F.col("b") - 1990 + F.col("o_custkey") * 7 % 2000).cast("string"), F.when(F.col("o_custkey") % 5 == 0, " BC").otherwise(" AD")).alias("object"))
+    return Graph(complete(born.unionByName(died)))
+
+
+LIVES = "l AS (SELECT o_custkey AS k, min(year(o_orderdate)) - 1990 + o_custkey * 7 % 2000 AS a, max(year(o_orderdate)) - 1990 + o_custkey * 7 % 2000 AS b, CASE WHEN o_custkey % 5 = 0 THEN -1 ELSE 1 END AS s FROM orders GROUP BY o_custkey)"
+
+
+def rule_named(name: str):
+    return next(r for r in rules.standard_rules() if r.name == name)
+
+
+@query_of(f"WITH {LIVES} SELECT 'c' || k AS subject, (b - a) * s || ' years' AS object FROM l WHERE (b - a) * s BETWEEN 1 AND 120")
+def rule_lived_for(spark, sf_dir):
+    return rule_named("lived_for").plan(lives(spark, sf_dir)).select("subject", "object")
+
+
+@query_of(f"WITH {LIVES} SELECT 'c' || k AS subject, CASE WHEN s < 0 THEN CASE WHEN a >= 800 THEN 'ancient_archaic_era' WHEN a >= 400 THEN 'ancient_classical_era' ELSE 'ancient_hellenistic_era' END WHEN a < 500 THEN 'late_antiquity' WHEN a < 1500 THEN 'medieval' WHEN a < 1800 THEN 'early_modern' WHEN a < 1900 THEN 'nineteenth_century' WHEN a < 2000 THEN 'twentieth_century' ELSE 'twenty_first_century' END AS object FROM l")
+def rule_lived_in(spark, sf_dir):
+    return rule_named("lived_in").plan(lives(spark, sf_dir)).select("subject", "object")
+
+
+@query_of(f"WITH {LIVES}, y AS (SELECT k, a * s AS y FROM l) SELECT 'c' || p.k AS subject, 'c' || q.k AS object FROM y p JOIN y q ON q.y - p.y BETWEEN 0 AND 50 AND p.k <> q.k AND (q.y > p.y OR q.k > p.k)")
+def rule_contemporary(spark, sf_dir):
+    return rule_named("contemporary").plan(lives(spark, sf_dir)).select("subject", "object")
+
+
+@query_of(f"WITH {LIVES} SELECT 'c' || k AS subject FROM l WHERE s < 0 AND a BETWEEN 301 AND 500")
+def born_between(spark, sf_dir):
+    return query.born_between(lives(spark, sf_dir).facts, 301, 500, bc=True).select("subject")
+
+
+@query_of("SELECT 'supplier#' || l_suppkey AS subject FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_partkey) >= 2")
+def rule_at_least(spark, sf_dir):
+    l = read(spark, sf_dir, "lineitem")
+    key = F.col("l_orderkey") * 100 + F.col("l_linenumber")
+    f = complete(l.select(key.alias("triple_id"), F.concat(F.lit("supplier#"), F.col("l_suppkey").cast("string")).alias("subject"), F.lit("CONQUERED").alias("relation"), F.col("l_partkey").cast("string").alias("object")))
+    return rule_named("multi_conqueror").plan(Graph(f)).select("subject")
+
+
+@query_of("SELECT DISTINCT CAST(u AS VARCHAR) AS subject FROM (SELECT (p_partkey - 1) // 2 AS u FROM part WHERE (p_partkey - 1) // 2 > 0) WHERE u NOT IN (SELECT p_partkey FROM part WHERE (p_partkey - 1) // 2 > 0)")
+def rule_progenitor(spark, sf_dir):
+    k = F.col("p_partkey")
+    f = complete(tree(spark, sf_dir).select(F.col("a").alias("triple_id"), F.col("a").cast("string").alias("subject"), F.lit("CHILD_OF").alias("relation"), F.col("b").cast("string").alias("object")))
+    return rule_named("family_progenitor").plan(Graph(f)).select("subject")
+
+
+DESCENT = """WITH RECURSIVE t AS (SELECT p_partkey AS a, (p_partkey - 1) // 2 AS b FROM part WHERE (p_partkey - 1) // 2 > 0),
+two AS (SELECT x.a, y.b FROM t x JOIN t y ON x.b = y.a), d AS (SELECT a, b FROM two UNION SELECT x.a, d.b FROM d JOIN t x ON x.b = d.a)"""
+
+
+@query_of(DESCENT + " SELECT CAST(a AS VARCHAR) AS subject, r AS relation, CAST(b AS VARCHAR) AS object FROM (SELECT a, 'INTELLECTUAL_DESCENDANT_OF' AS r, b FROM d UNION SELECT a, 'INFLUENCED_BY', b FROM d UNION SELECT a, 'INFLUENCED_BY', b FROM t)")
+def rules_of_descent(spark, sf_dir):
+    e = tree(spark, sf_dir)
+    f = complete(e.select(F.col("a").alias("triple_id"), F.col("a").cast("string").alias("subject"), F.lit("TUTORED_BY").alias("relation"), F.col("b").cast("string").alias("object")))
+    closed, _, _ = rules.fixpoint(Graph(f))
+    return three(closed.facts.where("relation IN ('INTELLECTUAL_DESCENDANT_OF', 'INFLUENCED_BY')"))
+
+
+# More programs
+
+
+@query_of("SELECT p_partkey, (100 + CASE p_size % 2 WHEN 0 THEN p_size ELSE -1 END)::DOUBLE AS value FROM part")
+def program_shared_stack(spark, sf_dir):
+    """The chosen program works on what lies below the selector; steps have addresses with gaps."""
+    programs = {
+        "main": [("LOAD", "p_size", 10), ("PUSH", "100", 20), ("JMP", "50", 30), ("PUSH", "7", 40), ("LOAD", "p_size", 50), ("PUSH", "2", 60), ("MOD", "", 70), ("DISPATCH", "0:keep,1:drop", 80), ("ADD", "", 90)],
+        "keep": [("DUP", ""), ("POP", "")],
+        "drop": [("SWAP", ""), ("POP", ""), ("PUSH", "-1")],
+    }
+    return run_program(read(spark, sf_dir, "part"), programs, "main", ["p_size"]).select("p_partkey", "value")
+
+
+@query_of("SELECT p_partkey, p_size::DOUBLE * 0 AS value, coalesce(list_transform(list_reverse(range(1, CAST(p_size AS BIGINT) + 1)), lambda x: x * x)::VARCHAR, '[]') AS emitted FROM part")
+def program_emits(spark, sf_dir):
+    """A loop that emits squares on its way down."""
+    loop = [("LOAD", "n"), ("JZ", "9"), ("LOAD", "n"), ("DUP", ""), ("MUL", ""), ("EMIT", ""), ("POP", ""), ("CALL", "less"), ("JMP", "10"), ("JMP", "15"), ("LOAD", "n"), ("PUSH", "1"), ("SUB", ""), ("STORE", "n"), ("JMP", "0"), ("PUSH", "0")]
+    programs = {"main": loop, "less": [("RET", "")]}
+    out = run_program(read(spark, sf_dir, "part").withColumn("n", F.col("p_size")), programs, "main", ["n"], emits="e")
+    return out.select("p_partkey", "value", F.concat(F.lit("["), F.array_join(F.transform("e", lambda x: x.cast("long").cast("string")), ", "), F.lit("]")).alias("emitted"))
+
+
+@query_of("SELECT 'c' || c_custkey AS subject FROM customer WHERE c_acctbal > 5000 AND c_nationkey % 2 = 1")
+def score_flags(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    name = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    row = lambda r, v, block: c.select((F.col("c_custkey") + block * 10**9).alias("triple_id"), name.alias("subject"), F.lit(r).alias("relation"), v.cast("string").alias("object"))
+    policy = spark.createDataFrame([(0, "policy", "LARGE", "5000")], "triple_id long, subject string, relation string, object string")
+    facts = complete(row("BALANCE", F.col("c_acctbal"), 1).unionByName(row("NATION", F.col("c_nationkey"), 2)).unionByName(policy))
+    code = [("LOAD", "balance"), ("FETCH", "policy|LARGE"), ("GT", ""), ("LOAD", "nation"), ("PUSH", "2"), ("MOD", ""), ("AND", ""), ("RET", "")]
+    return program.score_flags(facts, {"score": code}, "score", {"balance": "BALANCE", "nation": "NATION"})
