@@ -374,6 +374,23 @@ def test_decontamination(spark):
         assert decontam.lcs(a, b) == table[8][9]
 
 
+def test_decontamination_finds_paraphrases_as_brute_force(spark):
+    r, items = random.Random(40), [(i, t) for i, t in texts(40, 41)]
+    rows, planted = [(i, t) for i, t in texts(120, 42)], {}
+    others = "".join(t + " " for _, t in texts(30, 43)).split()
+    for n, rate in enumerate([0.1, 0.2, 0.3] * 40):
+        i, said = n % 40, []
+        for w in items[i][1].split():
+            said += [w] if r.random() > rate else r.choice([[], [r.choice(others)], [w, r.choice(others)]])
+        planted[1000 + n] = i
+        rows.append((1000 + n, rows[n][1] + " " + " ".join(said) + " " + rows[n + 1 if n < 119 else 0][1]))
+    got = {(x["doc_id"], x["item_id"]) for x in decontam.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"), block=25).collect()}
+    assert np.mean([(d, i) in got for d, i in planted.items()]) >= 0.95
+    told = {i: decontam.plain_words(t) for i, t in items}
+    want = {(d, i) for d, t in rows for i, x in told.items() if decontam.is_leak(x, decontam.plain_words(t))[0]}
+    assert len(want & got) >= 0.95 * len(want) and not {g for g in got if g not in want and planted.get(g[0]) != g[1]}
+
+
 def test_decontamination_ignores_case_of_all_letters(spark):
     accented = str.maketrans("aeoj", "áéöñ")
     rows, items = texts(60, 14), [(i, t.translate(accented)) for i, t in texts(8, 15)] + [(8, "straße über çà et là où naît l'été " * 3)]
