@@ -2,15 +2,18 @@
 
 The field tags tokens as the begin (B) or inside (I) of a secret or outside (O), from their shape, the words
 around and features of the whole text; spans are decoded by Viterbi. It is trained here, by gradients of the
-log-likelihood through forward and backward sums, on texts whose patterns' spans serve as labels. Only tokens near
-a run of letters and digits with a digit in it can be B or I: all others are O by constraint, so decoding the
-neighbourhoods of such runs is decoding the whole text.
+log-likelihood through forward and backward sums, on texts whose patterns' spans serve as labels, once as they are
+and some times with another secret and another word before it, so that it learns more than the patterns say. Only tokens
+near an unusual run can be B or I: letters, digits, hyphens and underscores, 8 at least, with a digit, a capital
+after a small letter, or 8 capitals in it. All others are O by constraint, so decoding the neighbourhoods of such
+runs is decoding the whole text; runs of small letters alone are never tagged.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
+import random
 import re
 from collections import Counter
 from hashlib import sha256
@@ -30,8 +33,8 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "crf")
 #: Texts with and without a pattern's span that the field is trained on, each; rounds; characters around a run.
 SAMPLE, EPOCHS, BEFORE, AFTER, RUN = 300, 6, 60, 30, 8
+KEY = re.compile("|".join(["password", "passwd", "secret", "token", "api_?key"]), re.I)
 TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
-DIGITS = re.compile(r"[0-9]+")
 B, I, O = 0, 1, 2  # noqa: E741
 
 
@@ -55,20 +58,28 @@ def secret_parts(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int
     return out
 
 
+def _class(b: int) -> int:
+    c = chr(b)
+    return ord("9" if c.isdigit() else "A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" else "-" if c in "-_" else " ")
+
+
+#: Each byte's class: small letter, capital, digit, joint or other; one byte a character, others than ASCII are other.
+CLASSES = bytes(map(_class, range(128))) + b" " * 128
+UNUSUAL, OUTSIDE = re.compile(rb"9|aA|A{8}"), re.compile(rb"[^aA9-]")
+
+
 def neighbourhoods(text: str) -> list[tuple[int, int]]:
-    """Parts of the text around runs of letters and digits with a digit in them."""
+    """Parts of the text around unusual runs."""
     out: list[list[int]] = []
-    done = 0
-    for m in DIGITS.finditer(text):
-        s, e = m.span()
-        if s < done:
-            continue
-        while s > done and text[s - 1].isascii() and text[s - 1].isalnum():
+    kinds = text.encode("ascii", "replace").translate(CLASSES)
+    at = 0
+    while m := UNUSUAL.search(kinds, at):
+        s = m.start()
+        while s and kinds[s - 1] != 32:
             s -= 1
-        while e < len(text) and text[e].isascii() and text[e].isalnum():
-            e += 1
-        done = e
-        if e - s < RUN:
+        end = OUTSIDE.search(kinds, m.end())
+        e = at = end.start() if end else len(kinds)
+        if len(kinds[s:e].strip(b"-")) < RUN:
             continue
         low, high = max(0, s - BEFORE), min(len(text), e + AFTER)
         if out and low <= out[-1][1]:
@@ -105,7 +116,10 @@ def features(tokens: list[str], file: list[str]) -> list[list[str]]:
         word, mixed = t.isalnum(), any(c.isdigit() for c in t) and any(c.isalpha() for c in t)
         kind = "mark" if not word else "mixed" if mixed else "digits" if t.isdigit() else "letters"
         f = ["bias", f"shape:{shapes[i]}", f"kind:{kind}:{min(10, len(t) // 4)}", f"prev:{shapes[i - 1] if i else '^'}", f"next:{shapes[i + 1] if i + 1 < len(tokens) else '$'}"]
-        if kind in ("mixed", "digits"):
+        turns = sum(a.islower() and b.isupper() for a, b in zip(t, t[1:])) if kind == "letters" and len(t) >= RUN else 0
+        if turns:
+            f.append(f"turns:{min(4, turns)}")
+        if kind in ("mixed", "digits") or turns > 1 or (kind == "letters" and len(t) >= RUN and t.isupper()):
             f.append(f"entropy:{kind}:{int(2 * entropy(t))}")
             f.append(f"hex:{kind}:{all(c in '0123456789abcdef' for c in t)}")
             f += [f"{x}:{kind}" for x in file]
@@ -199,9 +213,13 @@ class Field:
                 self.move -= step
 
 
-def labelled(text: str, drop: int = 0) -> list[tuple[list[list[str]], list[int]]]:
+def labelled(text: str) -> list[tuple[list[list[str]], list[int]]]:
     """Features and labels of the neighbourhoods of a text, its patterns' spans taken as the truth."""
-    parts, file, out = secret_parts(text, base_spans(text)), file_features(text), []
+    return told(text, secret_parts(text, base_spans(text)))
+
+
+def told(text: str, parts: list[tuple[int, int]]) -> list[tuple[list[list[str]], list[int]]]:
+    file, out = file_features(text), []
     for low, high in neighbourhoods(text):
         at = [m.span() for m in TOKEN.finditer(text, low, high)]
         labels = [O] * len(at)
@@ -209,27 +227,68 @@ def labelled(text: str, drop: int = 0) -> list[tuple[list[list[str]], list[int]]
             inside = [i for i, (a, b) in enumerate(at) if a >= s and b <= e]
             for n, i in enumerate(inside):
                 labels[i] = I if n else B
-        rows = features([text[a:b] for a, b in at], file)
-        if drop and len(out) % drop == 0:
-            rows = [[f for f in r if not f.startswith("after:")] for r in rows]
-        out.append((rows, labels))
+        out.append((features([text[a:b] for a, b in at], file), labels))
     return out
 
 
+#: What secrets that no pattern knows are made of: letters, letters and digits, groups of them;
+#: copies of a
+#: text with others in it, and what may stand between a word and them.
+ALPHABETS = ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+
+VARIANTS = 3
+BETWEEN = (" ", " is ", ": ", " => ", "=", ' "', " '", " (", ", ", ":")
+
+
+def varied(text: str, rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
+    """The text with each secret drawn anew, and the words of the pattern's key by other words of the text."""
+    spans = base_spans(text)
+    others = [w for w in text[:5_000].split() if w.isalpha() and w.isascii()] or ["word"]
+    out, parts, done, size = [], [], 0, 0
+
+    def put(x: str) -> None:
+        nonlocal size
+        out.append(x)
+        size += len(x)
+
+    for (s, e, _), (low, high) in zip(spans, secret_parts(text, spans)):
+        if s < done:
+            continue
+        put(text[done:s])
+        put(rng.choice(others) + rng.choice(BETWEEN) if rng.random() < 0.6 else KEY.sub(lambda m: rng.choice(others), text[s:low]))
+        letters, n = rng.choice(ALPHABETS), rng.randint(12, 40)
+        new = "".join(rng.choices(letters, k=n))
+        if rng.random() < 0.3:
+            new = "-".join(new[i : i + 4] for i in range(0, n - n % 4, 4))
+        parts.append((size, size + len(new)))
+        put(new)
+        put(text[high:e])
+        done = e
+    put(text[done:])
+    return "".join(out), parts
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
-    """A field trained on ``sample`` texts with a pattern's span and as many without, both with long runs in them."""
+    """A field trained on ``sample`` texts with a pattern's span and as many without, chosen by a hash of the text."""
     pattern = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
-    rows = docs.select(text_of().alias("text")).where(F.col("text").rlike("[0-9]"))
-    key = F.xxhash64("text")
-    chosen = [rows.where(F.col("text").rlike(pattern) == has).select(key.alias("k"), "text").orderBy("k").limit(sample).select("text") for has in (True, False)]
+    rows = docs.select(text_of().alias("text")).where(F.col("text").rlike("[0-9]|[a-z][A-Z]")).select(F.xxhash64("text").alias("k"), "text")
+    keyed = rows.select("k", F.col("text").rlike(pattern).alias("has"))
+    # hashes are chosen first; only the chosen texts are read
+    chosen = {has: [r[0] for r in keyed.where(F.col("has") == has).select("k").distinct().orderBy("k").limit(sample).collect()] for has in (True, False)}
 
     def read(batches):
         for batch in batches:
-            data = [pickle.dumps(d) for t in batch.column(0).to_pylist() if (d := labelled(t, 2))]
-            yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], ["d"])
-
-    got = [bytes(r[0]) for c in chosen for r in c.mapInArrow(read, "d binary").collect()]  # at most 2 x sample texts
-    data = [x for d in sorted(got) for x in pickle.loads(d)]
+            data = []
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rng, d = random.Random(k), labelled(text)
+                if any(y != O for _, labels in d for y in labels):
+                    d += [x for _ in range(VARIANTS) for x in told(*varied(text, rng))]
+                data.append((k, pickle.dumps(d)))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in data], pa.int64()), pa.array([d for _, d in data], pa.binary())], ["k", "d"])
+
+    every = chosen[True] + chosen[False]
+    got = {r[0]: bytes(r[1]) for r in rows.where(F.col("k").isin(every)).mapInArrow(read, "k long, d binary").collect()} if every else {}  # at most 2 x sample texts
+    data = [x for _, d in sorted(got.items()) for x in pickle.loads(d)]
     if not any(y != O for _, labels in data for y in labels):
         return None
     field = Field()
