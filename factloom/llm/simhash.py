@@ -1,8 +1,9 @@
 """SimHash near-duplicates with BK-trees.
 
 A document is 64 majority bits over the hashes of its word shingles. Distinct fingerprints are dealt to shards
-by two of four 16-bit blocks: fingerprints at distance 2 or less agree on two blocks at least, so each link shows
-in some shard. A shard holds a BK-tree (children keyed by their distance to the parent), followed only along
+by two of radius + 2 blocks of bits (four of 16 for radius 2): fingerprints within the radius agree on two blocks at
+least, so each link shows in some shard; a shard of too many is dealt anew by parts of its other bits, of which one
+agrees, too. Trees of all shards would not fit a broadcast, so each is built in the task that its shard goes to. A shard holds a BK-tree (children keyed by their distance to the parent), followed only along
 edges within the radius; its links go through a union-find and leave as one link per member.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import connected, documents, words, written
 
 SHINGLE, RADIUS = 3, 2
-#: Shards with more fingerprints are dealt anew by a third of their other bits.
+#: Shards with more fingerprints are dealt anew by a part of their other bits.
 HOT = 20_000
 
 
@@ -80,48 +81,52 @@ def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
     return [(x, r) for x in parent if (r := find(x)) != x]
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """prints: distinct f long. a, b: links that connect all fingerprints within the radius."""
-    blocks = [F.shiftrightunsigned("f", 16 * i).bitwiseAND(0xFFFF) for i in range(4)]
-    keys = F.array(*(F.struct((F.shiftleft(blocks[i], 16).bitwiseOR(blocks[j]) + (n << 33)).alias("key"), F.lit(n).alias("n")) for n, (i, j) in enumerate(combinations(range(4), 2))))
+def links(prints: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """prints: distinct f long; hot: fingerprints of a shard beyond which it is dealt anew. a, b: links that connect all fingerprints within the radius."""
+    cuts = [64 * i // (radius + 2) for i in range(radius + 3)]
+    blocks = [[*range(a, b)] for a, b in zip(cuts, cuts[1:])]
+    pairs = list(combinations(range(radius + 2), 2))
+    mask = lambda bits: F.lit(int(np.uint64(sum(1 << b for b in bits)).view(np.int64)))
+    key = lambda n, i, j: F.xxhash64(F.lit(n), F.col("f").bitwiseAND(mask(blocks[i] + blocks[j])))
+    keys = F.array(*(F.struct(key(n, i, j).alias("key"), F.lit(n).alias("n")) for n, (i, j) in enumerate(pairs)))
     rows = prints.select("f", F.explode(keys).alias("k")).select("k.key", "k.n", "f")
-    hot = written(rows.groupBy("key").count().where(F.col("count") > HOT).select("key"))
-    if hot.take(1):
-        rest = [tuple(x for x in range(4) if x not in p) for p in combinations(range(4), 2)]
-        other = F.element_at(F.array(*(F.shiftleft(blocks[i], 16).bitwiseOR(blocks[j]) for i, j in rest)), F.col("n") + 1)
-        third = F.array(*(F.xxhash64("key", F.lit(i), F.shiftright(other, 11 * i).bitwiseAND(2047)) for i in range(3)))
-        large = rows.join(hot, "key", "left_semi").select(F.explode(third).alias("key"), "f")
-        rows = rows.join(hot, "key", "left_anti").select("key", "f").union(large)
+    large = written(rows.groupBy("key").count().where(F.col("count") > hot).select("key"))
+    if large.take(1):
+        rest = [[b for x in range(radius + 2) if x not in p for b in blocks[x]] for p in pairs]
+        parts = lambda k: F.element_at(F.array(*(mask(bits[k :: radius + 1]) for bits in rest)), F.col("n") + 1)
+        again = F.array(*(F.xxhash64("key", F.lit(k), F.col("f").bitwiseAND(parts(k))) for k in range(radius + 1)))
+        split = rows.join(large, "key", "left_semi").select(F.explode(again).alias("key"), "f")
+        rows = rows.join(large, "key", "left_anti").select("key", "f").union(split)
 
     def search(batches):
         last, run = None, []
 
-        def out(pairs):
-            a, b = (np.array([p[i] for p in pairs], np.uint64).view(np.int64) for i in (0, 1))
+        def out(found):
+            a, b = (np.array([p[i] for p in found], np.uint64).view(np.int64) for i in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             key = batch.column(0).to_numpy(zero_copy_only=False)
             f = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-            pairs = []
+            found = []
             ends = np.r_[starts[1:], len(key)]
             for s, e in zip(starts.tolist(), ends.tolist()):
                 if s == 0 and last == key[0]:
                     run.extend(f[s:e].tolist())
                 else:
                     if len(run) > 1:
-                        pairs += shard_links(run, radius)
+                        found += shard_links(run, radius)
                     run = f[s:e].tolist()
             if len(key):
                 last = key[-1]
-            if pairs:
-                yield out(pairs)
-        if len(run) > 1 and (pairs := shard_links(run, radius)):
-            yield out(pairs)
+            if found:
+                yield out(found)
+        if len(run) > 1 and (found := shard_links(run, radius)):
+            yield out(found)
 
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return rows.select("key", "f").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(search, "a long, b long")
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return rows.select("key", "f").repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

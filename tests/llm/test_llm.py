@@ -52,6 +52,49 @@ def test_secrets(spark):
     assert secrets.scan(docs(spark, []), None).count() == 0
 
 
+def test_field_finds_secrets_that_no_pattern_knows(spark):
+    r = random.Random(50)
+    clean = texts(160, 51)
+    rows = [(i, t) for i, t in clean] + [(200 + i, f"{t} token: \"{hashlib.sha256(t.encode()).hexdigest()[:28]}\" {t} item{i} 20{i % 90 + 10}") for i, t in clean[:80]]
+    field = secrets.train(docs(spark, rows))
+    alphabets, found = (secrets.ALPHABETS[0], secrets.ALPHABETS[-1], secrets.ALPHABETS[1]), []
+    for n in range(90):
+        v = "".join(r.choices(alphabets[n % 3], k=20))
+        text = clean[n][1] + ["passphrase is ", "pwd => ", 'key "'][n // 3 % 3] + v + ' ' + clean[n + 1][1]
+        assert not secrets.base_spans(text)
+        s = text.index(v)
+        found.append(any(a < s + 20 and b > s for a, b, _ in secrets.added(text, [], field)))
+    assert np.mean(found) > 0.8
+    assert sum(len(secrets.added(t, [], field)) for _, t in clean) <= 1
+    assert secrets.neighbourhoods("") == [] and secrets.neighbourhoods("é" * 70 + " aB3-dEf_9g " + "x" * 99) == [(11, 111)]
+    assert secrets.neighbourhoods("small letters only " * 9) == [] and secrets.neighbourhoods("QwErTyUiOp") == [(0, 10)]
+
+
+def test_scan_agrees_with_patterns_one_by_one(spark):
+    """The base columns against a search that starts at every place of the text."""
+    import re
+
+    r, bits = random.Random(52), ["password", "API_KEY", "apikey", " = ", ":", '"', "x" * 6, "a1b2c3", "AKIA", "Z" * 16, "0f" * 12, "0123456789abcdef" * 2, " ", "é", "token", "\n", "-", "short"]
+    rows = [(i, "".join(r.choices(bits, k=r.randint(1, 14)))) for i in range(300)] + [(900, None)]
+    rules = {
+        "assign": (r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 6),
+        "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+        "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    }
+    got = {x["doc_id"]: x for x in secrets.scan(docs(spark, rows), None).collect()}
+    for i, t in rows:
+        spans = []
+        for n, (kind, (pattern, keep)) in enumerate(rules.items()):
+            at = 0
+            while at <= len(t or ""):
+                if m := re.compile(pattern).match(t or "", at):
+                    spans += [(m.start(), n, f"{kind}:{m.start()}:{m.end()}")] if keep(m) else []
+                at = m.end() if m else at + 1
+        say = ",".join(x for *_, x in sorted(spans))
+        assert (got[i]["spans"], got[i]["base_sha256"]) == (say, hashlib.sha256(say.encode()).hexdigest())
+        assert [got[i][f"n_{k}"] for k in rules] == [sum(x.startswith(k) for *_, x in spans) for k in rules]
+
+
 def test_field_decodes_as_brute_force():
     field = secrets.Field()
     r = np.random.default_rng(0)
@@ -125,6 +168,45 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("radius, hot", [(2, 20_000), (2, 6), (3, 20_000), (3, 6)])
+def test_links_within_a_radius(spark, radius, hot):
+    r = random.Random(60 + radius)
+    bases = [r.getrandbits(64) for _ in range(40)]
+    prints = set(bases)
+    for b in bases[:20]:
+        for _ in range(6):
+            b ^= sum(1 << k for k in r.sample(range(64), r.randint(1, radius + 1)))
+            prints.add(b)
+    common = bases[0] & ~0xFFFF
+    prints |= {common | r.getrandbits(16) for _ in range(40)}  # shards of many
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(x),) for x in prints], "f long")
+    parent = {signed(x): signed(x) for x in prints}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in simhash.links(df, radius, hot).collect():
+        parent[find(a)] = find(b)
+    group, todo, want = {}, sorted(prints), {}
+    for x in todo:
+        if x in group:
+            continue
+        wave = [x]
+        group[x] = x
+        while wave:
+            y = wave.pop()
+            for z in todo:
+                if z not in group and (y ^ z).bit_count() <= radius:
+                    group[z] = x
+                    wave.append(z)
+    for x in todo:
+        want.setdefault(group[x], set()).add(find(signed(x)))
+    assert all(len(v) == 1 for v in want.values()) and len({next(iter(v)) for v in want.values()}) == len(want)
+
+
 def test_language(spark):
     one, two = texts(60, 3), [(i, t.translate(str.maketrans("abcdefghij", "qrstuvwxyz"))) for i, t in texts(60, 4)]
     labelled = spark.createDataFrame([(t, "aa") for _, t in one[:40]] + [(t, "bb") for _, t in two[:40]] + [(None, "aa"), ("x", None)], "text string, lang string")
