@@ -18,6 +18,8 @@ from factloom.llm.common import text_of
 
 #: Bytes of text in a group, and of texts packed together before they are sent.
 GROUP_BYTES, BLOCK_BYTES = 8_000_000, 24_000_000
+#: Bytes of text for each bucket of keys, so that a bucket's task holds as much whatever the input; and buckets at most.
+BUCKET_BYTES, MOST_BUCKETS = 16_000_000, 60_000
 MESSAGE = "to int, kind int, data binary"
 TEXT, NEWS = 0, 1
 
@@ -35,7 +37,8 @@ def rows(items: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
 def counts(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> tuple[int, int]:
     """Groups for the texts, and buckets for their keys."""
     size = docs.agg(F.sum(F.octet_length(text_of()))).first()[0] or 0
-    return max(1, -(-size // group_bytes)), max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(1, -(-size // group_bytes)), min(MOST_BUCKETS, max(1, tasks, -(-size // BUCKET_BYTES)))
 
 
 def dealt(docs: DataFrame, groups: int, held: F.Column | None = None) -> DataFrame:

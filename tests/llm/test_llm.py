@@ -277,6 +277,53 @@ def test_substrings_against_all_windows(spark):
     assert substrings.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_passages_in_every_document_and_colliding_hashes(spark, monkeypatch):
+    r = random.Random(70)
+    passage = "".join(r.choices("abcdefgh ", k=130))
+    rows = [(i, "".join(r.choices("klmnop ", k=r.randint(0, 80))) + passage[r.randint(0, 60) : r.randint(70, 130)] + "".join(r.choices("uvwxyz ", k=40))) for i in range(120)]
+
+    def check(rows, got):
+        seen = {}
+        for i, t in sorted(rows):
+            b, cut = t.encode(), [False] * len(t.encode())
+            for p in range(len(b) - 49):
+                if seen.get(b[p : p + 50], i) < i:
+                    cut[p : p + 50] = [True] * 50
+            for p in range(len(b) - 49):
+                seen.setdefault(b[p : p + 50], i)
+            kept = bytes(c for c, k in zip(b, cut) if not k)
+            runs = sum(k and not (n and cut[n - 1]) for n, k in enumerate(cut))
+            assert (got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (sum(cut), runs, hashlib.sha256(kept).hexdigest()), i
+
+    from factloom.llm import groups
+
+    monkeypatch.setattr(groups, "GROUP_BYTES", 2_000)
+    monkeypatch.setattr(groups, "BUCKET_BYTES", 1_500)
+    monkeypatch.setattr(substrings, "counts", lambda d: groups.counts(d, 2_000))  # many groups and buckets
+    check(rows, {x["doc_id"]: x for x in substrings.remove_repeats(docs(spark, rows)).collect()})
+    texts_ = [t.encode() for _, t in rows[:20]] * 2
+    one = lambda key: np.zeros(len(key), np.int64)
+    keys = np.unique(np.concatenate([k for *_, k, _ in substrings.minimizers(texts_, substrings.Rolling())]) & substrings.LOW48)
+    plain = substrings.places(texts_, keys, one)
+    found = substrings.minimizers
+    monkeypatch.setattr(substrings, "minimizers", lambda t, x: ((d, p, k, c * np.uint64(0)) for d, p, k, c in found(t, x)))
+    odd = substrings.places(texts_, keys, one)
+    body = lambda x: sorted((int(n), texts_[d][a:b]) for d, a, b, _, n in zip(*x))
+    assert len({b for _, b in body(plain)}) <= len({n for n, _ in body(odd)}) == len({n for n, _ in body(plain)})
+    assert all(len({b for m, b in body(odd) if m == n}) == 1 for n in {n for n, _ in body(odd)})
+
+
+def test_reaches_are_longest_previous_factors():
+    r = random.Random(71)
+    for _ in range(60):
+        rows = np.array(sorted(r.choices(list(__import__("itertools").product(b"ab", repeat=5)), k=r.randint(1, 25))), np.uint8)
+        owner = np.array([r.randint(0, 4) for _ in rows])
+        common = lambda a, b: next((k for k in range(5) if a[k] != b[k]), 5)
+        want = [max((common(rows[i], rows[j]) for j in range(len(rows)) if owner[j] < owner[i]), default=0) for i in range(len(rows))]
+        assert substrings.reaches(rows, owner, 0).tolist() == want
+        assert [x if x >= 4 else 0 for x in substrings.reaches(rows, owner, 4)] == [x if x >= 4 else 0 for x in want]
+
+
 def test_longest_previous_factors():
     r = random.Random(6)
     for _ in range(20):
