@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import temporal
@@ -121,17 +121,35 @@ class Ontology:
         return f"{self.name}: {len(self.classes)} classes, {len(self.properties)} properties, {len(compile_to_rules(self))} rules"
 
 
+#: Ordinals of a span of time. Facts that hold no longer meet within spans; longer and open ones meet all of their key.
+SPAN = temporal.YEAR
+#: Spans that no date has, in which facts held long on one side meet the other side.
+LONG_FIRST, LONG_SECOND = -(10**9), -(10**9) - 1
+
+
 def functional_markers(g: Graph, p: str, inverse: bool = False) -> DataFrame:
-    """One marker for each subject (inverse: object) and pair of different values that hold at one time in one scope."""
+    """One marker for each subject (inverse: object) and pair of different values that hold at one time in one scope.
+
+    Pairs are looked for in spans of time, so a subject with many facts over the years is not compared in one task.
+    """
     on, value = ("object", "subject") if inverse else ("subject", "object")
     f = g.facts.where(F.col("relation") == p)
-    # ordinals are worked out once a fact, not once a pair
-    ends = lambda x: [temporal.date_ord(F.col(f"{x}valid_from")).alias(f"{x}low"), temporal.date_ord(F.col(f"{x}valid_to")).alias(f"{x}high")]
-    a, b = (side(f, x).select("*", *ends(x)) for x in ("a_", "b_"))
+
+    def dealt(x: str, short: Column, long: Column) -> DataFrame:
+        low, high = F.col(f"{x}low"), F.col(f"{x}high")
+        # ordinals are worked out once a fact, not once a pair
+        timed = side(f, x).select("*", temporal.date_ord(F.col(f"{x}valid_from")).alias(f"{x}low"), temporal.date_ord(F.col(f"{x}valid_to")).alias(f"{x}high"))
+        timed = timed.withColumn(f"{x}first", F.when((high - low).between(0, SPAN), F.floor(low / SPAN)))
+        spans = F.when(F.col(f"{x}first").isNull(), long).otherwise(F.array_distinct(F.concat(F.array(F.col(f"{x}first"), F.floor(high / SPAN)), short)))
+        return timed.withColumn(f"{x}span", F.explode(spans))
+
+    of = lambda *spans: F.array(*(F.lit(k).cast("long") for k in spans))
+    a, b = dealt("a_", of(LONG_SECOND), of(LONG_FIRST)), dealt("b_", of(LONG_FIRST), of(LONG_FIRST, LONG_SECOND))
     near = (F.col("a_triple_id") < F.col("b_triple_id")) & (F.col(f"a_{value}") != F.col(f"b_{value}"))
     near &= F.coalesce(F.col("a_scope") == F.col("b_scope"), F.lit(True))
+    near &= F.col("a_span").isin(LONG_FIRST, LONG_SECOND) | (F.col("a_span") == F.greatest("a_first", "b_first"))  # once a pair
     near &= temporal.strictly_overlaps(*(F.col(c) for c in ("a_low", "a_high", "b_low", "b_high")))
-    pairs = a.join(b, F.col(f"a_{on}") == F.col(f"b_{on}")).where(near)
+    pairs = a.join(b, (F.col(f"a_{on}") == F.col(f"b_{on}")) & (F.col("a_span") == F.col("b_span"))).where(near)
     text = F.concat(F.lit(f"{p}:"), F.least(f"a_{value}", f"b_{value}"), F.lit("|"), F.greatest(f"a_{value}", f"b_{value}"))
     return pairs.select(F.col(f"a_{on}").alias("subject"), F.lit(INVERSE_FUNCTIONAL if inverse else FUNCTIONAL).alias("relation"), text.alias("object"), F.array(as_input("a_"), as_input("b_")).alias("inputs"))
 
