@@ -435,6 +435,18 @@ def test_toxicity(spark):
     assert np.mean([(got[i] >= 0.5) == (i % 4 == 0) for i in held]) > 0.9 and got[900] == got[901]
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    r = random.Random(51)
+    plain = ["".join(r.choices("abcdefghij", k=6)) for _ in range(40)]
+    # a toxic text has a word that no other text has, so only a model that has seen it can tell
+    rows = [(i, " ".join(r.choices(plain, k=8) + (["".join(r.choices("klmnopqrstuvwxyz", k=9))] if i % 2 else []))) for i in range(5000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5000)], "doc_id long, toxic int")
+    nets = [toxicity.train(docs(spark, rows).repartition(n), labels) for n in (2, 7)]
+    scores = [nets[0].score(nets[0].table[toxicity.buckets(t)].sum(1)) for _, t in rows]
+    assert np.mean([s >= 0.5 for s in scores[1::2]]) > 0.98 and np.mean([s >= 0.5 for s in scores[::2]]) < 0.02
+    assert (nets[0].table == nets[1].table).all() and (nets[0].flat() == nets[1].flat()).all() and nets[0].thresholds == nets[1].thresholds
+
+
 def test_network_pools_as_brute_force_and_learns_from_random_starts():
     r = np.random.default_rng(31)
     net = toxicity.Network(seed=2)
