@@ -1,33 +1,33 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items and documents are cut into passages of words. A randomised SVD of TF-IDF passages, its products
-summed over partitions, gives a latent space; passages of documents whose cosine with an item's passage there
+Benchmark items and documents are cut into passages of words. A randomised SVD of the TF-IDF passages of all of them,
+its products summed over partitions, gives a latent space; passages of documents whose cosine with an item's passage there
 reaches a threshold are candidates. A candidate is a leak if the longest common subsequence with the item's words
 covers most of them, or a fair part with the item's closing words (its answer) besides: paraphrases keep those.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import documents, table, text_of
+from factloom.llm.common import documents, table, text_of, written
 
 #: Words of an item's passage (documents are searched by windows of twice that, overlapping by half), rank of the
-#: latent space as a share of the items' passages (and at least so much), rounds of the range finder, and documents
-#: that the space is fitted on besides the items.
-PASSAGE, RANK, LEAST_RANK, ROUNDS, SAMPLE = 24, 0.4, 16, 2, 400
+#: latent space as a share of the items' passages (and at least so much), and rounds of the range finder.
+PASSAGE, RANK, LEAST_RANK, ROUNDS = 24, 0.4, 16, 2
 #: Words in more than this share of passages weigh nothing.
 COMMON = 0.02
 COSINE, COVER, PARTIAL, ANSWER = 0.15, 0.6, 0.5, 8
 #: Items that are searched for at once, in a latent space of their own; more are searched for block by block.
 ITEM_BLOCK = 256
-#: Words of documents whose windows are compared at once.
-BATCH = 60_000
+#: Words of documents whose windows are compared at once, and that are multiplied at once (so that caches hold them); words
+#: of the vocabulary whose partial sums travel together.
+BATCH, PRODUCT, CHUNK = 60_000, 15_000, 256
 #: Marks of ASCII to spaces.
 PLAIN = bytes(32 if 32 < b < 127 and not chr(b).isalnum() else b for b in range(256))
 
@@ -113,15 +113,31 @@ def dense(rows: list[list[bytes]], vocabulary: dict[bytes, int], weight: np.ndar
     return out
 
 
+def numbered(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
+    """doc_id and words: each text's words by their numbers (see stored), written once for the passes over them."""
+    sent, kind = docs.sparkSession.sparkContext.broadcast(vocabulary), stored(vocabulary)
+
+    def run(batches):
+        for batch in batches:
+            found = [numbers(t, sent.value).astype(kind).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "words"])
+
+    return written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, words binary"))
+
+
+def stored(vocabulary: dict[bytes, int]) -> type:
+    return np.int16 if len(vocabulary) < 1 << 15 else np.int32
+
+
 def document_frequency(docs: DataFrame, vocabulary: dict[bytes, int], size: int) -> tuple[np.ndarray, int]:
-    """Passages of all documents that hold each word of the vocabulary, and the number of passages."""
-    sent, v = docs.sparkSession.sparkContext.broadcast(vocabulary), len(vocabulary)
+    """Passages of all documents (as of numbered) that hold each word of the vocabulary, and the number of passages."""
+    v, kind = len(vocabulary), stored(vocabulary)
 
     def count(batches):
-        vocabulary, total, n = sent.value, np.zeros(v, np.int64), 0
+        total, n = np.zeros(v, np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                x = numbers(text, vocabulary).astype(np.int64)
+            for words in batch.column(0).to_pylist():
+                x = np.frombuffer(words, kind).astype(np.int64)
                 n += -(-len(x) // size)
                 live = np.flatnonzero(x >= 0)
                 pairs = np.unique(live // size * v + x[live])
@@ -129,7 +145,7 @@ def document_frequency(docs: DataFrame, vocabulary: dict[bytes, int], size: int)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.flatnonzero(total), v], pa.int64()), pa.array(np.r_[total[total > 0], n], pa.int64())], ["w", "n"])
 
     out, n = np.zeros(v, np.int64), 0
-    for w, c in docs.select("text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n")).collect():  # a row per word of the items
+    for w, c in docs.select("words").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n")).collect():  # a row per word of the items
         if w == v:
             n = c
         else:
@@ -137,40 +153,60 @@ def document_frequency(docs: DataFrame, vocabulary: dict[bytes, int], size: int)
     return out, n
 
 
-def latent_space(docs: DataFrame, items: np.ndarray, vocabulary: dict[bytes, int], weight: np.ndarray, rank: int, rounds: int, sample: int, size: int, total: int) -> np.ndarray:
+def latent_space(docs: DataFrame, items: np.ndarray, vocabulary: dict[bytes, int], weight: np.ndarray, rank: int, rounds: int, size: int, total: int) -> np.ndarray:
     """(words, rank): an orthonormal basis of the leading right singular directions of the TF-IDF passages.
 
-    The range finder multiplies a random block by the matrix and its transpose, in partial sums over partitions.
+    The passages are the items' and those of all documents (as of numbered, total of them), which count as one document
+    on the mean. The range finder multiplies a random block by the matrix and its transpose, in partial sums over partitions.
     """
     rng = np.random.default_rng(3)
     q = np.linalg.qr(rng.normal(size=(len(vocabulary), min(rank, len(vocabulary)))))[0].astype(np.float32)
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) < F.lit(max(1, int(1_000_003 * min(1.0, sample / max(1, total)))))
-    chosen = docs.where(draw).select("text").repartition(4)  # a bounded sample
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, stored(vocabulary)
     for _ in range(rounds):
-        sent = spark.sparkContext.broadcast((vocabulary, weight, q))
+        sent = spark.sparkContext.broadcast((weight, (q * weight[:, None]).astype(np.float32)))
 
         def multiply(batches, sent=sent):
-            vocabulary, weight, q = sent.value
-            y = np.zeros_like(q)
-            some = False
+            weight, q = sent.value
+            y = np.zeros(q.shape)
+
+            def add(texts):
+                ids = np.concatenate(texts)
+                passage = np.repeat(np.cumsum([0, *(-(-len(x) // size) for x in texts[:-1])]), [len(x) for x in texts])
+                passage += np.concatenate([np.arange(len(x)) // size for x in texts])
+                live = np.flatnonzero(ids >= 0)
+                live = live[weight[ids[live]] > 0]
+                if len(live):
+                    ids, passage = ids[live], passage[live]
+                    new = np.r_[True, passage[1:] != passage[:-1]]
+                    part = np.add.reduceat(q.take(ids, 0), np.flatnonzero(new), axis=0)
+                    by = np.argsort(ids, kind="stable")
+                    starts = np.flatnonzero(np.r_[True, np.diff(ids[by]) > 0])
+                    words = ids[by][starts]
+                    y[words] += np.add.reduceat(part.take((np.cumsum(new) - 1)[by], 0), starts, axis=0) * weight[words][:, None]
+
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    x = numbers(text, vocabulary)
-                    live = x[x >= 0]
-                    if not len(live):
-                        continue
-                    some = True
-                    at = np.flatnonzero(x >= 0) // size
-                    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                    part = np.add.reduceat(q[live] * weight[live][:, None], starts, axis=0)
-                    np.add.at(y, live, part[np.cumsum(np.r_[False, at[1:] != at[:-1]])] * weight[live][:, None])
-            if some:
-                yield pa.RecordBatch.from_arrays([pa.array([y.astype(np.float32).tobytes()], pa.binary())], ["y"])
-
-        y = items.T @ (items @ q) * 4
-        for (part,) in chosen.mapInArrow(multiply, "y binary").collect():  # one block of the items' words times the rank from each of the tasks above
-            y += np.frombuffer(part, np.float32).reshape(q.shape) / max(1, sample)
+                texts, n = [], 0
+                for words in batch.column(0).to_pylist():
+                    texts.append(np.frombuffer(words, kind))
+                    n += len(texts[-1])
+                    if n > PRODUCT:
+                        add(texts)
+                        texts, n = [], 0
+                if texts:
+                    add(texts)
+            chunks = [k for k in range(0, len(y), CHUNK) if y[k : k + CHUNK].any()]
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array([y[k : k + CHUNK].astype(np.float32).tobytes() for k in chunks], pa.binary())], ["chunk", "y"])
+
+        def add_up(batches, wide=q.shape[1]):
+            rows = ((c, d) for batch in batches for c, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            for chunk, parts in groupby(rows, key=lambda r: r[0]):
+                y = sum(np.frombuffer(d, np.float32).astype(float) for _, d in parts).reshape(-1, wide)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([y.tobytes()], pa.binary())], ["chunk", "y"])
+
+        y = (items.T @ (items @ q) * 4).astype(float)
+        parts = docs.select("words").mapInArrow(multiply, "chunk long, y binary").repartition("chunk").sortWithinPartitions("chunk", "y")
+        for chunk, part in parts.mapInArrow(add_up, "chunk long, y binary").collect():  # the items' words times the rank
+            y[chunk : chunk + CHUNK] += np.frombuffer(part).reshape(-1, q.shape[1]) / max(1, total)
         q = np.linalg.qr(y)[0].astype(np.float32)
     return q
 
@@ -195,19 +231,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, cover:
         vocabulary = {w: i for i, w in enumerate(sorted({w for _, x in items for w in x}))}
         if not vocabulary:
             continue
-        df, n = document_frequency(docs, vocabulary, size)
+        told = numbered(docs, vocabulary)
+        df, n = document_frequency(told, vocabulary, size)
         idf = np.log((n + 1.0) / (df + 1.0)) + 0.01
         weight = np.where(df > COMMON * max(n, 20), 0, idf).astype(np.float32)
         cuts = [(k, p) for k, (_, x) in enumerate(items) for p in passages(x, size)]
         matrix = dense([p for _, p in cuts], vocabulary, weight)
-        space = latent_space(docs, matrix, vocabulary, weight, max(LEAST_RANK, int(rank * len(cuts))), ROUNDS, SAMPLE, size, total)
+        space = latent_space(told, matrix, vocabulary, weight, max(LEAST_RANK, int(rank * len(cuts))), ROUNDS, size, total)
         latent = matrix @ space
         norms = np.linalg.norm(latent, axis=1)
         # items of common words only have no direction; they are compared by their words alone, in every text
         bare = [k for k in range(len(items)) if not any(weight[vocabulary[w]] > 0 for w in items[k][1])]
         sent = spark.sparkContext.broadcast((items, vocabulary, weight, (space * weight[:, None]).astype(np.float32), [k for k, _ in cuts], (latent / np.maximum(norms, 1e-9)[:, None]).astype(np.float32), bare))
 
-        def search(batches, sent=sent):
+        def search(batches, sent=sent, kind=stored(vocabulary)):
             items, vocabulary, weight, basis, owner, latent, bare = sent.value
             owner = np.array(owner)
             told = [[vocabulary[w] for w in words] for _, words in items]
@@ -248,8 +285,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, cover:
             for batch in batches:
                 found: list[tuple] = []
                 ids, texts, total = [], [], 0
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    x = numbers(text, vocabulary)
+                for doc, seen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    x = np.frombuffer(seen, kind).astype(np.int32)
                     if len(x):
                         ids.append(doc), texts.append(x)
                         total += len(x)
@@ -261,7 +298,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, cover:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["doc_id", "item_id", "cosine", "cover"])
 
-        got = docs.mapInArrow(search, schema)
+        got = told.mapInArrow(search, schema)
         out = got if out is None else out.union(got)
     return out if out is not None else spark.createDataFrame([], schema)
 

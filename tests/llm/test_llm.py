@@ -532,6 +532,23 @@ def test_decontamination_finds_paraphrases_as_brute_force(spark):
     assert len(want & got) >= 0.95 * len(want) and not {g for g in got if g not in want and planted.get(g[0]) != g[1]}
 
 
+def test_latent_space_is_of_all_documents(spark):
+    r = np.random.default_rng(61)
+    vocabulary = {f"w{i}".encode(): i for i in range(60)}
+    rows = [(i, " ".join(f"w{k}" for k in r.integers(0, 80, r.integers(0, 70)))) for i in range(1500)] + [(1500, ""), (1501, "w3 " * 100)]
+    weight = np.where(np.arange(60) % 7 == 0, 0, r.random(60) + 0.5).astype(np.float32)
+    items = decontam.dense([[f"w{k}".encode() for k in r.integers(0, 60, 24)] for _ in range(9)], vocabulary, weight)
+    told = decontam.numbered(docs(spark, rows), vocabulary)
+    got = decontam.latent_space(told.repartition(3), items, vocabulary, weight, 16, 2, 24, len(rows))
+    cut = [t.encode().split()[i : i + 24] for _, t in rows for i in range(0, len(t.split()), 24)]
+    matrix = decontam.dense(cut, vocabulary, weight).astype(float)
+    q = np.linalg.qr(np.random.default_rng(3).normal(size=(60, 16)))[0]
+    for _ in range(2):
+        q = np.linalg.qr(4 * items.T @ (items @ q) + matrix.T @ (matrix @ q) / len(rows))[0]
+    assert np.abs(q @ q.T - got @ got.T).max() < 1e-3
+    assert sorted(x[0] for x in told.collect()) == [i for i, _ in rows]
+
+
 def test_decontamination_ignores_case_of_all_letters(spark):
     accented = str.maketrans("aeoj", "áéöñ")
     rows, items = texts(60, 14), [(i, t.translate(accented)) for i, t in texts(8, 15)] + [(8, "straße über çà et là où naît l'été " * 3)]
