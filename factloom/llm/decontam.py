@@ -27,7 +27,7 @@ COSINE, COVER, PARTIAL, ANSWER = 0.15, 0.6, 0.5, 8
 ITEM_BLOCK = 256
 #: Words of documents whose windows are compared at once, and that are multiplied at once (so that caches hold them); words
 #: of the vocabulary whose partial sums travel together.
-BATCH, PRODUCT, CHUNK = 60_000, 15_000, 256
+BATCH, PRODUCT, CHUNK = 60_000, 15_000, 32
 #: Marks of ASCII to spaces.
 PLAIN = bytes(32 if 32 < b < 127 and not chr(b).isalnum() else b for b in range(256))
 

@@ -571,6 +571,24 @@ def test_decontamination_without_ids(spark, tmp_path):
     assert sorted(left, key=str) == sorted(rows + [(None, rows[3][1]), (None, None)], key=str)
 
 
+def test_pipeline_fits_its_latent_space_on_all_documents(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as p
+
+    r, seen, real = random.Random(62), [], decontam.latent_space
+    said = [" ".join(f"w{r.randrange(3000)}" for _ in range(60)) for _ in range(903)]
+    rows, items = list(enumerate(said[:900])), list(enumerate(said[900:]))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(decontam, "latent_space", lambda *a: seen.append((a, real(*a))) or seen[-1][1])
+    assert p.decontaminate(spark, docs(spark, rows), str(tmp_path)).count() == 900
+    [((_, matrix, vocabulary, weight, rank, *_), got)] = seen
+    cut = [t.encode().split()[i : i + 24] for _, t in rows for i in range(0, len(t.split()), 24)]
+    every = decontam.dense(cut, vocabulary, weight).astype(float)
+    q = np.linalg.qr(np.random.default_rng(3).normal(size=(len(vocabulary), rank)))[0]
+    for _ in range(2):
+        q = np.linalg.qr(4 * matrix.T @ (matrix @ q) + every.T @ (every @ q) / len(rows))[0]
+    assert np.abs(q @ q.T - got @ got.T).max() < 1e-2
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 
