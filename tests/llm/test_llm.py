@@ -1,9 +1,11 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -469,6 +471,75 @@ def test_network_pools_as_brute_force_and_learns_from_random_starts():
     assert set(net.thresholds) == {"aa", "bb"} and all(0 < x < 1 for x in net.thresholds.values())
 
 
+def test_words_are_told_apart_and_hashed_as_one_by_one(spark):
+    r = random.Random(52)
+    some = [t or "" for _, t in ODD] + ["... !", "\t" + "X" * 31 + " " + "y" * 32 + "\x00 .Ab-c,", " \x1c \x85 "]
+    some += ["".join(r.choices("abcXYZ019 \t\n\v\f\r.,!-é\x00\U0001f600", k=r.randint(0, 200))) for _ in range(300)]
+    sizes, found, rows = toxicity.worded(pa.array(["skipped", *some])[1:])
+    for t, ids in zip(some, np.split(rows[found], np.cumsum(sizes[:-1]))):
+        assert len(ids) == len(t.encode().split()) and (not len(ids) or (ids == toxicity.buckets(t)).all())
+    rows = [x for i, t in enumerate(some) for x in ((0, i, None, None, i % 2, 0), (0, i, t, "en", None, None))]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], list("abcdef"))
+    rows, learned, y, _ = toxicity.opened(next(toxicity.tokenized([batch])).column(1)[0].as_py())
+    assert y.tolist() == [i % 2 for i in range(len(some))]  # texts without a word are learned from as well
+    assert all(rows[ids].tolist() == toxicity.buckets(t).tolist() for t, ids in zip(some, learned))
+    net = toxicity.Network(seed=3)
+    want = [net.score(net.table[toxicity.buckets(t)].sum(1)) for t in some]
+    assert toxicity.scored(pa.array(some), net) == pytest.approx(want, abs=1e-6)
+    got = toxicity.score_documents(crossed(docs(spark, list(enumerate(some)))), net, ["doc_id", "key"])
+    assert got.columns == ["doc_id", "key", "score"] and {x["doc_id"]: x["score"] for x in got.collect()} == pytest.approx(dict(enumerate(want)), abs=1e-6)
+
+
+def test_scoring_takes_less_than_hashing_words_one_by_one():
+    r = random.Random(53)
+    some = [" ".join("".join(r.choices("abcdefghij", k=9)) for _ in range(300)) for _ in range(200)]
+    net, took = toxicity.Network(seed=3), {}
+    for name, f in (("scored", lambda: toxicity.scored(pa.array(some), net)), ("one by one", lambda: [toxicity.buckets(t) for t in some])):
+        began = time.thread_time()
+        f()
+        took[name] = time.thread_time() - began
+    assert took["scored"] < took["one by one"] / 2
+
+
+def test_network_learns_as_written_out_text_by_text():
+    r, net, plain = np.random.default_rng(33), toxicity.Network(seed=4), toxicity.Network(seed=4)
+    rows = r.integers(0, 60, (50, len(toxicity.STEMS) + 1))  # words share rows
+    seen, y = [r.integers(0, 50, n) for n in (1, 2, 3, 30, 700, 40)], np.array([0, 1, 0, 1, 0, 1])
+    weight = net.start([3, 3])
+    net.learn(rows, seen, y, weight, np.random.default_rng(5))
+    filters, bias, out, at, looks = plain.filters, plain.bias, plain.out.copy(), plain.at, np.random.default_rng(5)
+    squares, rows2 = [np.full(p.shape, 1e-2) for p in (out, *filters, *bias)], np.full(toxicity.BUCKETS + 1, 1e-2)
+    for i in looks.permutation(6):
+        ids = rows[seen[i][looks.random(len(seen[i])) > (toxicity.SPARE if y[i] else toxicity.DROP)]]
+        if not len(ids):
+            continue
+        x = np.concatenate([plain.table[ids].sum(1), np.zeros((3 if len(ids) < 3 else 0, toxicity.DIM))])[: max(3, len(ids))]
+        found = [[max(range(len(x) - len(f) + 1), key=lambda k: float((x[k : k + len(f)] * f[:, :, j]).sum())) for j in range(toxicity.FILTERS)] for f in filters]
+        h = np.array([max(0, (x[k : k + len(f)] * f[:, :, j]).sum() + b[j]) for f, b, at_ in zip(filters, bias, found) for j, k in enumerate(at_)])
+        g = (1 / (1 + np.exp(-(h @ out + at))) - y[i]) * weight[y[i]]
+        if abs(g) < 1e-3:
+            continue
+        dh, towards = g * out * (h > 0), {}
+        df, db = [np.zeros(f.shape) for f in filters], np.split(dh, 3)
+        for f, slope, where, d in zip(filters, df, found, db):
+            for j, k in enumerate(where):
+                slope[:, :, j] = x[k : k + len(f)] * d[j]
+                for place in range(len(f)):
+                    for row in ids[k + place] if k + place < len(ids) else ():
+                        towards[row] = towards.get(row, 0) + f[place, :, j] * d[j]
+        for p, slope, s in zip((out, *filters, *bias), (g * h + 1e-4 * out, *df, *db), squares):
+            s += slope**2
+            p -= (toxicity.RATE * slope / np.sqrt(s)).astype(np.float32)
+        at -= toxicity.RATE * 0.2 * g
+        for row, total in towards.items():
+            rows2[row] += (total**2).mean()
+            plain.table[row] -= toxicity.RATE * total / np.sqrt(rows2[row])
+    assert net.table == pytest.approx(plain.table, abs=1e-4) and net.rows2 == pytest.approx(rows2, abs=1e-4)
+    assert net.out == pytest.approx(out, abs=1e-4) and net.at == pytest.approx(at, abs=1e-4)
+    assert all(a == pytest.approx(b, abs=1e-4) for a, b in zip((*net.filters, *net.bias), (*filters, *bias)))
+
+
 def test_katz_sums_to_one_and_matches_brute_force(spark):
     rows = [(i, t) for i, t in ODD if i is not None and i != 7] + texts(80, 9)[10:]
     held = {i for i, _ in rows if i % 5 == 1}
