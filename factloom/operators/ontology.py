@@ -127,31 +127,36 @@ SPAN = temporal.YEAR
 LONG_FIRST, LONG_SECOND = -(10**9), -(10**9) - 1
 
 
-def functional_markers(g: Graph, p: str, inverse: bool = False) -> DataFrame:
+def functional_markers(g: Graph, p: str, inverse: bool = False, timed: bool = True) -> DataFrame:
     """One marker for each subject (inverse: object) and pair of different values that hold at one time in one scope.
 
     Pairs are looked for in spans of time, so a subject with many facts over the years is not compared in one task.
+    Without facts held long, both sides are dealt alike and Spark shuffles them once. timed: inputs with their interval.
     """
     on, value = ("object", "subject") if inverse else ("subject", "object")
     f = g.facts.where(F.col("relation") == p)
+    ends = temporal.date_ord(F.col("valid_from")), temporal.date_ord(F.col("valid_to"))
+    any_long = bool(f.select((ends[1] - ends[0]).between(0, SPAN).alias("short")).where("short is not true").take(1))
 
     def dealt(x: str, short: Column, long: Column) -> DataFrame:
         low, high = F.col(f"{x}low"), F.col(f"{x}high")
         # ordinals are worked out once a fact, not once a pair
-        timed = side(f, x).select("*", temporal.date_ord(F.col(f"{x}valid_from")).alias(f"{x}low"), temporal.date_ord(F.col(f"{x}valid_to")).alias(f"{x}high"))
-        timed = timed.withColumn(f"{x}first", F.when((high - low).between(0, SPAN), F.floor(low / SPAN)))
-        spans = F.when(F.col(f"{x}first").isNull(), long).otherwise(F.array_distinct(F.concat(F.array(F.col(f"{x}first"), F.floor(high / SPAN)), short)))
-        return timed.withColumn(f"{x}span", F.explode(spans))
+        dated = side(f, x).select("*", temporal.date_ord(F.col(f"{x}valid_from")).alias(f"{x}low"), temporal.date_ord(F.col(f"{x}valid_to")).alias(f"{x}high"))
+        held = F.array_distinct(F.concat(F.array(F.floor(low / SPAN), F.floor(high / SPAN)), short))
+        spans = F.when((high - low).between(0, SPAN), held).otherwise(long) if any_long else held
+        return dated.withColumn(f"{x}span", F.explode(spans))
 
     of = lambda *spans: F.array(*(F.lit(k).cast("long") for k in spans))
-    a, b = dealt("a_", of(LONG_SECOND), of(LONG_FIRST)), dealt("b_", of(LONG_FIRST), of(LONG_FIRST, LONG_SECOND))
+    none = F.array().cast("array<bigint>")
+    a = dealt("a_", of(LONG_SECOND) if any_long else none, of(LONG_FIRST))
+    b = dealt("b_", of(LONG_FIRST) if any_long else none, of(LONG_FIRST, LONG_SECOND))
     near = (F.col("a_triple_id") < F.col("b_triple_id")) & (F.col(f"a_{value}") != F.col(f"b_{value}"))
     near &= F.coalesce(F.col("a_scope") == F.col("b_scope"), F.lit(True))
-    near &= F.col("a_span").isin(LONG_FIRST, LONG_SECOND) | (F.col("a_span") == F.greatest("a_first", "b_first"))  # once a pair
+    near &= F.col("a_span").isin(LONG_FIRST, LONG_SECOND) | (F.col("a_span") == F.floor(F.greatest("a_low", "b_low") / SPAN))  # once a pair
     near &= temporal.strictly_overlaps(*(F.col(c) for c in ("a_low", "a_high", "b_low", "b_high")))
     pairs = a.join(b, (F.col(f"a_{on}") == F.col(f"b_{on}")) & (F.col("a_span") == F.col("b_span"))).where(near)
     text = F.concat(F.lit(f"{p}:"), F.least(f"a_{value}", f"b_{value}"), F.lit("|"), F.greatest(f"a_{value}", f"b_{value}"))
-    return pairs.select(F.col(f"a_{on}").alias("subject"), F.lit(INVERSE_FUNCTIONAL if inverse else FUNCTIONAL).alias("relation"), text.alias("object"), F.array(as_input("a_"), as_input("b_")).alias("inputs"))
+    return pairs.select(F.col(f"a_{on}").alias("subject"), F.lit(INVERSE_FUNCTIONAL if inverse else FUNCTIONAL).alias("relation"), text.alias("object"), F.array(as_input("a_", timed), as_input("b_", timed)).alias("inputs"))
 
 
 def untimed(df: DataFrame) -> DataFrame:
@@ -169,8 +174,8 @@ def compile_to_rules(ont: Ontology) -> list[Rule]:
     """Rules in a fixed order, which decides between proofs of one fact."""
     rules = [transitive(p) for p in sorted(ont.transitive)]
     rules += [relabel(f"owl:symmetricProperty({p})", [p], p, swap=True, skip_self=True) for p in sorted(ont.symmetric)]
-    rules += [Rule(f"owl:functionalProperty({p})", lambda g, p=p: untimed(functional_markers(g, p)), 0, (p,)) for p in sorted(ont.functional)]
-    rules += [Rule(f"owl:inverseFunctionalProperty({p})", lambda g, p=p: untimed(functional_markers(g, p, True)), 0, (p,)) for p in sorted(ont.inverse_functional)]
+    rules += [Rule(f"owl:functionalProperty({p})", lambda g, p=p: functional_markers(g, p, timed=False), 0, (p,), rests=(p,), makes=(FUNCTIONAL,)) for p in sorted(ont.functional)]
+    rules += [Rule(f"owl:inverseFunctionalProperty({p})", lambda g, p=p: functional_markers(g, p, True, timed=False), 0, (p,), rests=(p,), makes=(INVERSE_FUNCTIONAL,)) for p in sorted(ont.inverse_functional)]
     for p, q in ont.inverses:
         rules += [relabel(f"owl:inverseOf({p},{q})", [p], q, swap=True), relabel(f"owl:inverseOf({q},{p})", [q], p, swap=True)]
     rules += [relabel(f"rdfs:subPropertyOf({p},{q})", [p], q) for p, q in ont.sub_properties]
@@ -180,7 +185,7 @@ def compile_to_rules(ont: Ontology) -> list[Rule]:
     rules += [is_a(c, d, "rdfs:subClassOf") for c, d in ont.sub_classes]
     for c, d in ont.equal_classes:
         rules += [is_a(c, d, "owl:equivalentClass"), is_a(d, c, "owl:equivalentClass")]
-    rules += [Rule(f"owl:disjointWith({c},{d})", lambda g, c=c, d=d: untimed(disjoint_markers(g, c, d)), 0, ("IS_A",)) for c, d in ont.disjoint]
+    rules += [Rule(f"owl:disjointWith({c},{d})", lambda g, c=c, d=d: untimed(disjoint_markers(g, c, d)), 0, ("IS_A",), rests=("IS_A",), makes=(DISJOINT,)) for c, d in ont.disjoint]
     rules += [relabel(f"rdfs:domain({p},{c})", [p], "IS_A", to=c) for p, c in sorted(ont.domains.items())]
     rules += [relabel(f"rdfs:range({p},{c})", [p], "IS_A", swap=True, to=c) for p, c in sorted(ont.ranges.items())]
     return rules
