@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.plans.storage import written
+from factloom.plans.storage import parts, written
 from factloom.schema import Graph, canonical
 
 
@@ -213,5 +213,5 @@ def overlap(facts: DataFrame, relation: str, one: str, other: str) -> DataFrame:
 
 def co_occurring(pairs: DataFrame, group: str, item: str) -> DataFrame:
     """low, high, n: items that share a group, and how many groups they share."""
-    t = pairs.select(F.col(group).alias("k"), F.col(item).alias("x")).distinct()
+    t = pairs.select(F.col(group).alias("k"), F.col(item).alias("x")).repartition(parts(pairs), "k").distinct()  # dealt once, for this and the join
     return t.withColumnRenamed("x", "low").join(t.withColumnRenamed("x", "high"), "k").where("low < high").groupBy("low", "high").agg(F.count("*").alias("n"))

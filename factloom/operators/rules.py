@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from factloom.functions import confidence as conf
 from factloom.functions import temporal
 from factloom.operators.query import bins
-from factloom.plans.storage import written
+from factloom.plans.storage import parts, written
 from factloom.schema import DERIVED, Graph, canonical, numbered
 
 INPUT = "struct<id:bigint,confidence:double,valid_from:string,valid_to:string>"
@@ -267,14 +267,21 @@ def trace_sources(facts: DataFrame, derivations: DataFrame, max_depth: int = 50)
 
 
 def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Transitive closure of edges (a, b), self pairs of cycles included, by doubling: new pairs join all pairs."""
+    """Transitive closure of edges (a, b), self pairs of cycles included, by doubling: new pairs join all pairs.
+
+    Pairs are dealt to as many tasks as their number asks for: in bytes they are too small for Spark to tell.
+    """
     every = written(edges.select("a", "b").distinct())
-    fresh = every
+    fresh, old = every, None
     for _ in range(max_rounds):
-        left = fresh.select("a", F.col("b").alias("m")).join(every.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
-        right = every.select("a", F.col("b").alias("m")).join(fresh.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
-        fresh = written(left.union(right).distinct().join(every, ["a", "b"], "left_anti"))
+        n = parts(every)
+        to = lambda df: df.select("a", F.col("b").alias("m")).repartition(n, "m")
+        on = lambda df: df.select(F.col("a").alias("m"), "b").repartition(n, "m")
+        found = to(fresh).join(on(every), "m").select("a", "b")
+        if old is not None:  # pairs of two new ones are made once
+            found = found.union(to(old).join(on(fresh), "m").select("a", "b"))
+        fresh = written(found.repartition(2 * n, "a", "b").distinct().join(every.repartition(2 * n, "a", "b"), ["a", "b"], "left_anti"))
         if not fresh.take(1):
             return every
-        every = every.union(fresh)  # tables of one round each, none written again
+        old, every = every, every.union(fresh)  # tables of one round each, none written again
     raise FixpointDivergence(f"closure did not converge in {max_rounds} rounds")

@@ -9,6 +9,15 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+#: Rows of a few numbers that a task sorts or hashes at a time.
+ROWS = 500_000
+
+
+def parts(df: DataFrame) -> int:
+    """How many tasks df's rows are dealt to, so that a task's share does not grow with the input."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS))
+
+
 def written(df: DataFrame) -> DataFrame:
     """df computed once and read again; a lost executor loses nothing."""
     spark = df.sparkSession

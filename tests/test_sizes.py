@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from factloom.operators import conflict, ontology, rules
+from factloom.operators import conflict, ontology, query, rules
+from factloom.plans import storage
 from factloom.schema import graph
 
 SHIPPED = [{"subject": "p", "relation": "R", "object": o, "valid_from": a, "valid_to": b, "source_article": "A"} for o, a, b in (("x", "2001-01-01", "2001-01-20"), ("y", "2001-01-05", "2001-01-25"), ("z", "2003-01-01", "2003-01-20"))]
@@ -49,3 +50,19 @@ def test_few_authorities_go_to_the_members(spark):
     out = conflict.survivors(members, [conflict.latest_wins], graph(spark, SHIPPED, authorities={"A": 0.5}).authority)
     assert "BroadcastHashJoin" in planned(out)
     assert [r[0] for r in out.where("keep").select("object").collect()] == ["z"]
+
+
+def test_points_meet_few_points_in_vain(spark):
+    deal = query.bins(50)
+    rows = spark.range(5000).select(F.floor(F.col("id") / 5).alias("y"))
+    a, b = rows.select("y", F.explode(deal(F.col("y"), 50)).alias("bin")), rows.select(F.col("y").alias("z"), F.explode(deal(F.col("y"), 0)).alias("bin"))
+    met, near = a.join(b, "bin").agg(F.count("*"), F.count_if((F.col("z") - F.col("y")).between(0, 50))).head()
+    assert near == 5 * 5 * sum(min(51, 1000 - y) for y in range(1000)) and met < 1.3 * near  # twice with bins of the width
+
+
+def test_tasks_grow_in_number_not_in_size(spark, monkeypatch):
+    monkeypatch.setattr(storage, "ROWS", 10)
+    pairs = spark.range(200).selectExpr("id div 2 AS k", "id AS x")
+    assert storage.parts(pairs) == 20
+    assert "hashpartitioning(k" in planned(query.co_occurring(pairs, "k", "x")) and ", 20), REPARTITION_BY_NUM" in planned(query.co_occurring(pairs, "k", "x"))
+    assert rules.closure(spark.range(1, 40).selectExpr("id AS a", "id + 1 AS b")).count() == 39 * 40 // 2
